@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslice_topk, byte_bpe, line_dedup, ngram_join, packing, simhash, token_counts, toxicity, warc
+from . import bitslice_topk, byte_bpe, line_dedup, ngram_join, packing, simhash, suffix_dedup, token_counts, toxicity, warc
 from .sql import ORACLES
 
 
@@ -34,6 +34,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"))))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -57,7 +62,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-ALL = (op1_exact_topk, op2_ngram_jaccard, op3_token_counts, op4_byte_bpe, op6_warc, op7_simhash, op8_toxicity, op9_line_dedup, op10_best_fit_packing)
+ALL = (op1_exact_topk, op2_ngram_jaccard, op3_token_counts, op4_byte_bpe, op5_suffix_array_dedup, op6_warc, op7_simhash, op8_toxicity, op9_line_dedup, op10_best_fit_packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
