@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import base, scalars, sequences, tables  # noqa: F401  (they register)
+from .plans import base, recordings, scalars, sequences, tables  # noqa: F401  (they register)
 
 
 def flagship(spark, sf_dir):

@@ -169,6 +169,7 @@ class SessionOptions:
 class ArrangeOptions:
     sine: bool = True
     velocity: bool = True
+    trim: bool = False
     fade: int = 64
     tail: float = 1.0
     normalize: bool = True
