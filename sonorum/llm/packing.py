@@ -109,7 +109,7 @@ def pack(docs: DataFrame, name: str = VOCABULARY, width: int = WIDTH) -> DataFra
     spark = docs.sparkSession
     n = partitions(spark)
     top = scratch(spark)
-    cut = pieces(docs, name, width)
+    cut = written(pieces(docs, name, width), f"{top}/pieces")  # a range exchange reads its input twice: not the texts
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(width + 1, np.int64)
