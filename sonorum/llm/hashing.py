@@ -103,7 +103,12 @@ def shingle_sets(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
                 h = h * step + w
             extra.append(mix(h ^ np.uint64(n_words[d]))[0])
         out, owner = np.concatenate([out, np.array(extra, np.uint64)]), np.concatenate([owner, short])
-    order = np.lexsort((out, owner))
+    bits = len(texts).bit_length()
+    key = owner.astype(np.uint64) << np.uint64(64 - bits) | out >> np.uint64(bits)
+    order = np.argsort(key)
+    key = key[order]
+    if ((key[1:] == key[:-1]) & (out[order[1:]] != out[order[:-1]])).any():  # leading bits alone do not tell
+        order = np.lexsort((out, owner))
     out, owner = out[order], owner[order]
     new = np.ones(len(out), bool)
     new[1:] = (out[1:] != out[:-1]) | (owner[1:] != owner[:-1])

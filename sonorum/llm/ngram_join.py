@@ -19,14 +19,14 @@ Only the order decides what is cheap, never what is found: a frequency that is
 off changes prefixes, not results.
 
 Signatures go through one packed exchange in which those that only one class
-has disappear.  What is left are posting lists.  Round one verifies each list's
-classes against its hub (the smallest class id), which is linear in the lists;
-links give components.  Round two verifies the pairs of a list that lie in
-different components and have not met, of which at least one is outside the
-hub's component.  Every pair that shares a signature is therefore verified or
-known to be connected.  Before sets are compared, parity sketches (one bit for a
-shingle or two) bound the difference from below and drop pairs that cannot
-link, never one that can.
+has disappear.  What is left are posting lists.  The first round verifies each
+list's classes against three hubs, which is linear in the lists; links give
+components.  Where STAR_ROUNDS allows and lists still have many classes outside
+their hub's component, further rounds take one of these as the next hub.  The last round verifies all
+pairs of a list that lie in different components and have not met a hub.  Every
+pair that shares a signature is therefore verified or known to be connected.
+Before sets are compared, parity sketches (one bit for a shingle or two) bound
+the difference from below and drop pairs that cannot link, never one that can.
 
 Defined results: null or empty text and text without words: 0 shingles, its own
 component, linked with nothing; repeated rows fall into one component; a null
@@ -57,6 +57,9 @@ FILTER_LIMIT = 2_000_000
 #: Shingles that one task counts or groups at a time.
 BUCKET_TOKENS = 4_000_000
 KEY_BITS = 32
+#: Rounds behind the first (the last one takes all pairs across components; those before it, one more star a list),
+#: and the pairs a row of the lists from which another star comes before all pairs.
+STAR_ROUNDS, PRODUCTS = 1, 8
 
 U = np.uint64
 
@@ -239,7 +242,6 @@ def _frequent(docs: DataFrame, k: int, total: int, rare: int, limit: int) -> tup
 
 def _lists(docs: DataFrame, k: int, percent: int, total: int, frequent) -> DataFrame:
     """sig, set_id of the signatures that at least two classes have (of frequent ones: may have)."""
-    keys, df, shift = (docs.sparkSession.sparkContext.broadcast(frequent)).value
     held = docs.sparkSession.sparkContext.broadcast(frequent)
     bits = max(6, (-(-total // BUCKET_TOKENS) - 1).bit_length())
 
@@ -300,23 +302,41 @@ def _pruned(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long, n_a long, n_b long")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, k: int, percent: int, filter_limit: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, by their full sets."""
+def _tokens(docs: DataFrame, wanted: DataFrame, k: int, filter_limit: int) -> DataFrame:
+    """set_id, tokens of the wanted classes (set_id, first_id), read from the row that names the class."""
     spark = docs.sparkSession
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     only = None
-    if needed.count() <= filter_limit:
-        only = spark.sparkContext.broadcast(np.sort(needed.toPandas()["set_id"].to_numpy(np.int64)))
+    if wanted.count() <= filter_limit:
+        rows = wanted.toPandas()
+        named = rows["first_id"].notna().to_numpy()
+        ids = rows["set_id"].to_numpy(np.int64)
+        order = np.argsort(ids)
+        only = spark.sparkContext.broadcast((ids[order], named[order], rows["first_id"].fillna(0).to_numpy(np.int64)[order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids, tokens, offsets, take in Sets(k)(batches):
-            own = signed(ids)
-            if only is not None:
-                inside = np.isin(own, only.value)
+        for part, ids, tokens, offsets, take in Sets(k, once=False)(batches):
+            own, doc_ids = signed(ids), part.column("doc_id")
+            if only is not None and len(only.value[0]):
+                known, named, first = only.value
+                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                is_first = doc_ids.fill_null(0).to_numpy(zero_copy_only=False) == first[at]
+                inside = (known[at] == own) & (is_first | ~named[at])
                 take = [i for i in take if inside[i]]
             for at in range(0, len(take), 500):
-                part = take[at : at + 500]
-                yield pa.RecordBatch.from_arrays([pa.array(own[part]), pa.array([tokens[offsets[i] : offsets[i + 1]].tobytes() for i in part], pa.binary())], ["set_id", "tokens"])
+                some = take[at : at + 500]
+                yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(some)), pa.array(own[some]), pa.array([tokens[offsets[i] : offsets[i + 1]].tobytes() for i in some], pa.binary())], ["doc_id", "set_id", "tokens"])
+
+    full = docs.mapInArrow(run, "doc_id long, set_id long, tokens binary")
+    if only is None:
+        full = full.join(wanted, (full["set_id"] == wanted["set_id"]) & (F.col("first_id").isNull() | (F.col("doc_id") == F.col("first_id"))), "left_semi")
+    return full.select("set_id", "tokens")
+
+
+def _verified(tokens: DataFrame, pairs: DataFrame, percent: int, filter_limit: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, by their full sets."""
+    needed = pairs.select(F.col("a").alias("set_id")).distinct().union(pairs.select("b").distinct()).distinct()
+    if needed.count() <= filter_limit:
+        tokens = tokens.join(F.broadcast(needed), "set_id", "left_semi")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -329,9 +349,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, k: int, percen
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    full = docs.mapInArrow(run, "set_id long, tokens binary").dropDuplicates(["set_id"]) if only is None else docs.mapInArrow(run, "set_id long, tokens binary")
-    with_b = pairs.join(full.select(F.col("set_id").alias("b"), F.col("tokens").alias("tokens_b")), "b")
-    both = with_b.join(full.select(F.col("set_id").alias("a"), F.col("tokens").alias("tokens_a")), "a")
+    with_b = pairs.select("a", "b").join(tokens.select(F.col("set_id").alias("b"), F.col("tokens").alias("tokens_b")), "b")
+    both = with_b.join(tokens.select(F.col("set_id").alias("a"), F.col("tokens").alias("tokens_a")), "a")
     return both.select("a", "b", "tokens_a", "tokens_b").mapInArrow(check, "a long, b long").distinct()
 
 
@@ -373,30 +392,50 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
     released(spark)
     lists = written(_lists(docs, k, percent, total, frequent), f"{top}/lists")
     released(spark)
-    hubs = lists.groupBy("sig").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("other")).where("hub < other").select("sig", "hub")
+    # hubs of a list: the class that most lists hold, which is likely the middle of a group, and the smallest and largest id
+    held = lists.groupBy("set_id").agg(F.count(F.lit(1)).alias("lists"))
+    weighed = lists.join(held, "set_id").select("sig", "set_id", F.struct("lists", "set_id").alias("w"))
+    hubs = weighed.groupBy("sig").agg(F.max("w")["set_id"].alias("hub"), F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low < high")
     hubs = written(hubs, f"{top}/hubs")
-    stars = lists.join(hubs, "sig").where("set_id <> hub").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct()
-    first = written(_pruned(stars, sets, percent), f"{top}/pairs-1")
-    released(spark)
-    links = written(_verified(docs, first, sets, k, percent, filter_limit), f"{top}/links-1")
+    shared = written(lists.join(hubs.select("sig"), "sig", "left_semi"), f"{top}/shared")
+    dropped(spark, f"{top}/lists")
+    tokens = written(_tokens(docs, sets.join(shared.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "first_id"), k, filter_limit), f"{top}/tokens")
     released(spark)
-    labels = written(components(links, f"{top}/cc-1"), f"{top}/labels-1")
-    # round two: of each list the classes outside its hub's component, with all classes of other components but the hub
+    members_of = shared.select("sig", "set_id")
+
+    def met(n: int, labels: DataFrame | None, pairs: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Verify pairs; all links so far, and the components that they make."""
+        left = written(_pruned(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), sets, percent), f"{top}/pairs-{n}")
+        released(spark)
+        found = written(_verified(tokens, left, percent, filter_limit), f"{top}/links-{n}")
+        released(spark)
+        links = found if links is None else links.unionByName(found)
+        return links, written(components(links, f"{top}/cc-{n}"), f"{top}/labels-{n}")
+
+    stars = members_of.join(hubs, "sig").select(F.col("set_id").alias("a"), F.explode(F.array_distinct(F.array("hub", "low", "high"))).alias("b"))
+    links, labels = met(1, None, stars, None)
     label = F.coalesce("label", "set_id")
-    known = lists.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("sig", "set_id", label.alias("label"))
-    hub_label = hubs.join(labels.withColumnRenamed("node", "hub"), "hub", "left").select("sig", "hub", F.coalesce("label", "hub").alias("hub_label"))
-    open_lists = written(known.join(hub_label, "sig").where("set_id <> hub").join(sets.select("set_id", "n"), "set_id").select("sig", "set_id", "label", "n", (F.col("label") != F.col("hub_label")).alias("outside")), f"{top}/open")
-    released(spark)
-    a = open_lists.where("outside").select("sig", F.col("set_id").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("m_a"))
-    b = open_lists.select("sig", F.col("set_id").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("m_b"), F.col("outside").alias("outside_b"))
-    near = (F.col("m_a") * 100 >= F.col("m_b") * percent) & (F.col("m_b") * 100 >= F.col("m_a") * percent)
-    cross = a.join(b, (a["sig"] == b["sig"]) & (F.col("label_a") != F.col("label_b")) & (~F.col("outside_b") | (F.col("a") < F.col("b"))) & near)
-    second = written(_pruned(cross.select("a", "b").distinct(), sets, percent), f"{top}/pairs-2")
-    dropped(spark, f"{top}/open", f"{top}/lists", f"{top}/hubs")
-    released(spark)
-    if second.limit(1).count():
-        more = written(_verified(docs, second, sets, k, percent, filter_limit), f"{top}/links-2")
-        labels = written(components(links.unionByName(more), f"{top}/cc-2"), f"{top}/labels-2")
+    for n in range(2, 2 + STAR_ROUNDS):
+        # of each list the classes outside its hub's component
+        known = members_of.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("sig", "set_id", label.alias("label"))
+        hub_label = hubs.join(labels.withColumnRenamed("node", "hub"), "hub", "left").select("sig", "hub", "low", "high", F.coalesce("label", "hub").alias("hub_label"))
+        rest = known.join(hub_label, "sig").where("set_id not in (hub, low, high)").join(sets.select("set_id", "n"), "set_id")
+        open_lists = written(rest.select("sig", "set_id", "label", "n", (F.col("label") != F.col("hub_label")).alias("outside")), f"{top}/open-{n}")
+        released(spark)
+        sizes = open_lists.groupBy("sig").agg(F.count(F.lit(1)).alias("rows"), F.count_if("outside").alias("out"), F.min_by("set_id", F.struct(~F.col("outside"), F.xxhash64("set_id", F.lit(n)))).alias("next"), F.min_by("label", F.struct(~F.col("outside"), F.xxhash64("set_id", F.lit(n)))).alias("next_label"))
+        sizes = written(sizes.where("out > 0"), f"{top}/sizes-{n}")
+        rows, products = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum(F.col("rows") * F.col("out")), F.lit(0))).first()
+        last = n == 1 + STAR_ROUNDS or products <= PRODUCTS * rows
+        if last:
+            a = open_lists.where("outside").select("sig", F.col("set_id").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("m_a"))
+            b = open_lists.select("sig", F.col("set_id").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("m_b"), F.col("outside").alias("outside_b"))
+            near = (F.col("m_a") * 100 >= F.col("m_b") * percent) & (F.col("m_b") * 100 >= F.col("m_a") * percent)
+            cross = a.join(b, (a["sig"] == b["sig"]) & (F.col("label_a") != F.col("label_b")) & (~F.col("outside_b") | (F.col("a") < F.col("b"))) & near)
+        else:  # one more star: an outside class of each list against all of other components
+            cross = open_lists.join(sizes.select("sig", "next", "next_label"), "sig").where("label <> next_label").select(F.col("next").alias("a"), F.col("set_id").alias("b"))
+        links, labels = met(n, labels, cross.select("a", "b"), links)
+        if last:
+            break
     released(spark)
     labelled = sets.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", label.alias("label"), "first_id")
     named = labelled.groupBy("label").agg(F.min("first_id").alias("component_id")).join(labelled.select("set_id", "label"), "label").select("set_id", "component_id")
