@@ -25,7 +25,7 @@ def render_placements(spark, sf):
 
 
 def _parts(spark, sf):
-    own = signal(spark, sf).where("channel < 2").select(F.col("channel").cast("int").alias("channel"), "frame", "code")
+    own = signal(spark, sf).select("channel", "frame", "code")
     return V.residual(own, V.rendered(placements(spark, sf), waveforms(spark, sf), TIMELINE))
 
 
@@ -221,7 +221,7 @@ def notes_and_frames(spark, sf):
 SELECT start, row_number() OVER (ORDER BY start) AS place FROM u""".replace(f"WITH {NOTES}, u AS", f"WITH {NOTES}, {PLACEMENTS}, u AS").replace(f"), {PLACEMENTS}\nSELECT start", ")\nSELECT start"))
 def distinct_times(spark, sf):
     """[U2 U4] Onset times of placements and notes, once each, numbered without gathering them in one task."""
-    times = notes(spark, sf).where("channel = 1").select("start").union(placements(spark, sf).where("start >= 0").select("start")).distinct()
+    times = notes(spark, sf).select("start").union(placements(spark, sf).where("start >= 0").select("start")).distinct()
     return R.dense_number(times, ["start"], "place")
 
 
@@ -259,7 +259,7 @@ def first_per_note(spark, sf):
 @query("SELECT l_partkey AS sample_id, count(*) AS placements, min(l_orderkey) AS first_order FROM lineitem WHERE l_partkey < 20 GROUP BY l_partkey")
 def placements_of(spark, sf):
     """[F9]"""
-    return table(spark, sf, "lineitem").where("l_partkey < 20").groupBy(F.col("l_partkey").alias("sample_id")).agg(F.count(F.lit(1)).alias("placements"), F.min("l_orderkey").alias("first_order"))
+    return table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("sample_id")).agg(F.count(F.lit(1)).alias("placements"), F.min("l_orderkey").alias("first_order"))
 
 
 @query("SELECT r_name, n_name, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)")
