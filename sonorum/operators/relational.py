@@ -14,11 +14,20 @@ def chords(notes: DataFrame) -> DataFrame:
 
 
 def length_candidates(events: DataFrame, bank: DataFrame, event_keys: list[str], on: str, length: str, size: str, limit: int) -> DataFrame:
-    """Bank entries within an octave of the event's length, the nearest first, larger sample ids first among equals [F2 J5 O4]."""
+    """Bank entries within an octave of the event's length, the nearest first, larger sample ids first among equals [F2 J5 O4].
+
+    A distance depends on the two lengths only, so of entries of one size at
+    most `limit` can be chosen, and each distinct length is matched once;
+    events take the list of their length, repeated rows sharing their places.
+    """
     distance = F.abs(F.log2(F.col(size) / F.col(length)))
-    joined = events.join(bank, on).where(distance <= 1)
-    order = Window.partitionBy(*event_keys).orderBy(distance, F.desc("sample_id"))
-    return joined.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= limit)
+    best = bank.withColumn("_of_size", F.row_number().over(Window.partitionBy(on, size).orderBy(F.desc("sample_id")))).where(F.col("_of_size") <= limit)
+    lengths = events.select(on, length).distinct().join(best.select(on, size, "sample_id"), on).where(distance <= 1)
+    order = Window.partitionBy(on, length).orderBy(distance, F.desc("sample_id"))
+    listed = lengths.withColumn("_rank", F.row_number().over(order).cast("long")).where(F.col("_rank") <= limit)
+    repeated = events.groupBy(*event_keys).agg(F.count(F.lit(1)).alias("_n"))
+    first, last = (F.col("_rank") - 1) * F.col("_n") + 1, F.least(F.col("_rank") * F.col("_n"), F.lit(limit).cast("long"))
+    return repeated.join(listed, [on, length]).where(first <= last).withColumn("place", F.explode(F.sequence(first, last))).drop("_n", "_rank")
 
 
 def exact_repeats(df: DataFrame, key: str, waveform: str, group: list[str]) -> DataFrame:

@@ -1,5 +1,7 @@
 """Queries that cover the whole input, against plain statements without any filter of ids."""
 
+import math
+
 import pytest
 from oracle import connect, same
 
@@ -20,6 +22,13 @@ WHOLE = {
         CAST(sum(rendered * rendered) AS BIGINT) AS rendered_energy, CAST(sum(residual * residual) AS BIGINT) AS residual_energy, 0 AS deviation FROM parts GROUP BY channel""",
     "distinct_times": f"""WITH {NOTES}, {PLACEMENTS}, u AS (SELECT start FROM note UNION SELECT start FROM placement WHERE start >= 0)
         SELECT start, row_number() OVER (ORDER BY start) AS place FROM u""",
+    "candidates": """WITH e AS (SELECT l_orderkey, l_linenumber, l_partkey % 50 AS k, l_quantity AS len FROM lineitem),
+        r AS (SELECT l_orderkey, l_linenumber, p_partkey AS sample_id, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, e.k, len ORDER BY abs(log2(p_size / len)), p_partkey DESC) AS place
+          FROM e JOIN part ON p_partkey % 50 = e.k WHERE abs(log2(p_size / len)) <= 1)
+        SELECT * FROM r WHERE place <= 3""",
+    "key_zones": """WITH p AS (SELECT DISTINCT p_size % 5 AS instrument, CAST(21 + p_partkey % 88 AS INTEGER) AS note FROM part),
+        n AS (SELECT *, lag(note) OVER w AS before, lead(note) OVER w AS after FROM p WINDOW w AS (PARTITION BY instrument ORDER BY note))
+        SELECT instrument, note, CAST(coalesce(before + ceil((note - before) / 2), 0) AS INTEGER) AS low, CAST(coalesce(note + ceil((after - note) / 2) - 1, 127) AS INTEGER) AS high FROM n""",
     "placements_of": "SELECT l_partkey AS sample_id, count(*) AS placements, min(l_orderkey) AS first_order FROM lineitem GROUP BY l_partkey",
 }
 
@@ -38,3 +47,16 @@ def test_every_user_is_verified(spark):
     events = spark.read.parquet(f"{FOLDER}/events.parquet")
     assert catalog.queries()["residual_of_render"](spark, FOLDER).count() == events.count()
     assert catalog.queries()["render_and_verify"](spark, FOLDER).count() == events.select("user_id").distinct().count()
+
+
+def test_length_candidates_by_brute_force(spark):
+    from sonorum.operators.relational import length_candidates
+
+    events = [(i, i % 3, float(1 + i * 7 % 20)) for i in range(40)] + [(7, 1, 10.0)]  # the last row repeats an event
+    bank = [(j, j % 3, 1 + j * 5 % 23) for j in range(120)]
+    got = length_candidates(spark.createDataFrame(events, "id long, k long, len double"), spark.createDataFrame(bank, "sample_id long, k long, size int"), ["id", "k", "len"], "k", "len", "size", 3)
+    expected = []
+    for key in sorted(set(events)):
+        found = [(abs(math.log2(size / key[2])), -j) for j, k, size in bank if k == key[1] and abs(math.log2(size / key[2])) <= 1]
+        expected += [(key[0], -j, place) for place, (_, j) in enumerate(sorted(found * events.count(key))[:3], 1)]
+    assert sorted((r.id, r.sample_id, r.place) for r in got.collect()) == sorted(expected)
