@@ -76,17 +76,21 @@ def tie(notes: DataFrame) -> DataFrame:
     return chain.groupBy("channel", "note", "_chain").agg(F.min("start").alias("start"), F.sum("length").alias("length"), F.count(F.lit(1)).alias("tied")).drop("_chain")
 
 
-def dense_number(df: DataFrame, order: list[str], name: str = "ord", first: int = 1, buckets: int = 64) -> DataFrame:
-    """Numbers rows in a global order of their first column, without one task that sees them all.
+def dense_number(df: DataFrame, order: list[str], name: str = "ord", first: int = 1, buckets: int = 64, by: tuple[str, ...] = ()) -> DataFrame:
+    """Numbers rows in a global order of their first column (in each group of `by` anew), without one task that sees them all.
 
     Rows are dealt to ranges by quantiles of the first ordering column; numbers
     within a range come from a window by range, the ranges' offsets from their
-    counts, a table of at most `buckets` rows.
+    counts, a table of at most `buckets` rows (a group).
     """
     cuts = sorted(set(df.where(F.col(order[0]).isNotNull()).approxQuantile(order[0], [k / buckets for k in range(1, buckets)], 0.005)))
     key = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order[0]))) if cuts else F.lit(0)
     dealt = df.withColumn("_part", F.when(F.col(order[0]).isNull(), -1).otherwise(key))
-    counts = dealt.groupBy("_part").count()
-    offsets = counts.withColumn("_offset", F.sum("count").over(Window.orderBy("_part")) - F.col("count")).drop("count")
-    numbered = dealt.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    return numbered.join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_own") + F.col("_offset") + (first - 1)).cast("long")).drop("_part", "_own", "_offset")
+    groups = [F.col(c).alias(f"_by_{c}") for c in by]
+    counts = dealt.groupBy(*groups, F.col("_part").alias("_at")).count()
+    offsets = counts.withColumn("_offset", F.sum("count").over(Window.partitionBy(*(f"_by_{c}" for c in by)).orderBy("_at")) - F.col("count")).drop("count")
+    numbered = dealt.withColumn("_own", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)))
+    same = F.col("_part") == F.col("_at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return numbered.join(F.broadcast(offsets), same).withColumn(name, (F.col("_own") + F.col("_offset") + (first - 1)).cast("long")).drop("_part", "_own", "_offset", "_at", *(f"_by_{c}" for c in by))

@@ -245,9 +245,8 @@ def files_first_seen(spark, sf):
 
 @query(f"WITH {NOTES} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY start, note, length, velocity) AS place FROM note) WHERE place <= 20")
 def first_notes(spark, sf):
-    """[O1 O2 O3 O9] The first notes of each channel in (start, note) order."""
-    w = Window.partitionBy("channel").orderBy("start", "note", "length", "velocity")
-    return notes(spark, sf).withColumn("place", F.row_number().over(w).cast("long")).where("place <= 20")
+    """[O1 O2 O3 O9] The place of every note in its channel in (start, note) order."""
+    return R.dense_number(notes(spark, sf), ["start", "note", "length", "velocity"], "place", by=("channel",))
 
 
 @query("SELECT p_partkey, note FROM (SELECT p_partkey, 21 + p_partkey % 88 AS note, row_number() OVER (PARTITION BY 21 + p_partkey % 88 ORDER BY p_partkey) AS r FROM part) WHERE r = 1")

@@ -29,6 +29,7 @@ WHOLE = {
     "key_zones": """WITH p AS (SELECT DISTINCT p_size % 5 AS instrument, CAST(21 + p_partkey % 88 AS INTEGER) AS note FROM part),
         n AS (SELECT *, lag(note) OVER w AS before, lead(note) OVER w AS after FROM p WINDOW w AS (PARTITION BY instrument ORDER BY note))
         SELECT instrument, note, CAST(coalesce(before + ceil((note - before) / 2), 0) AS INTEGER) AS low, CAST(coalesce(note + ceil((after - note) / 2) - 1, 127) AS INTEGER) AS high FROM n""",
+    "first_notes": f"WITH {NOTES} SELECT *, row_number() OVER (PARTITION BY channel ORDER BY start, note, length, velocity) AS place FROM note",
     "placements_of": "SELECT l_partkey AS sample_id, count(*) AS placements, min(l_orderkey) AS first_order FROM lineitem GROUP BY l_partkey",
 }
 
@@ -60,3 +61,13 @@ def test_length_candidates_by_brute_force(spark):
         found = [(abs(math.log2(size / key[2])), -j) for j, k, size in bank if k == key[1] and abs(math.log2(size / key[2])) <= 1]
         expected += [(key[0], -j, place) for place, (_, j) in enumerate(sorted(found * events.count(key))[:3], 1)]
     assert sorted((r.id, r.sample_id, r.place) for r in got.collect()) == sorted(expected)
+
+
+def test_dense_numbers_by_group(spark):
+    from sonorum.operators.relational import dense_number
+
+    rows = [(None if i % 5 == 4 else i % 5, i * 7 % 311) for i in range(1000)]
+    got = dense_number(spark.createDataFrame(rows, "g long, k long"), ["k"], "n", by=("g",)).collect()
+    for g in (None, 0, 1, 2, 3):
+        own = sorted((r.n, r.k) for r in got if r.g == g)
+        assert own == list(enumerate(sorted(k for h, k in rows if h == g), 1))
