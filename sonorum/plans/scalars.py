@@ -94,11 +94,10 @@ def velocities(spark, sf):
 @query("""WITH a AS (SELECT vec_id, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) AS a FROM embeddings)
 SELECT vec_id, round(a[1] * 0.25 + a[2] * 0.5 + a[10] * 0.25, 9) AS faded, round(a[7] * 0.75 + a[8] * 0.5 + a[9] * 0.25 + a[10] * 0, 9) AS tail FROM a""")
 def fades(spark, sf):
-    """[P16 P17]"""
-    a = table(spark, sf, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 10).alias("a"))
-    x, y = S.apply_fades("a", 3), S.fade_out("a", 4)
-    at = lambda v, k: F.get(v, F.lit(k))
-    return a.select("vec_id", F.round(at(x, 0) + at(x, 1) + at(x, 9), 9).alias("faded"), F.round(at(y, 6) + at(y, 7) + at(y, 8) + at(y, 9), 9).alias("tail"))
+    """[P16 P17] Whole vectors with both fades, and with the tail's."""
+    a = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
+    whole = lambda v: F.transform(v, lambda x: F.round(x, 9))
+    return a.select("vec_id", whole(S.apply_fades("a", 3)).alias("faded"), whole(S.fade_out("a", 4)).alias("tail"))
 
 
 @query("""WITH n AS (SELECT DISTINCT CAST(p_size AS BIGINT) AS n FROM part), w AS (SELECT n, unnest(range(0, n)) AS i FROM n)

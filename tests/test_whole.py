@@ -71,3 +71,16 @@ def test_dense_numbers_by_group(spark):
     for g in (None, 0, 1, 2, 3):
         own = sorted((r.n, r.k) for r in got if r.g == g)
         assert own == list(enumerate(sorted(k for h, k in rows if h == g), 1))
+
+
+def test_fades_reach_the_true_ends(spark):
+    vectors = {r.vec_id: [float(x) for x in r.embedding] for r in spark.read.parquet(f"{FOLDER}/embeddings.parquet").collect()}
+    got = catalog.queries()["fades"](spark, FOLDER).collect()
+    assert len(got) == len(vectors)
+    for r in got:
+        a = vectors[r.vec_id]
+        n = len(a)
+        assert n > 10
+        edge = [min(i, n - 1 - i) for i in range(n)]
+        assert r.faded == pytest.approx([x * (edge[i] + 1) / 4 if edge[i] < 3 else x for i, x in enumerate(a)], abs=1e-8)
+        assert r.tail == pytest.approx([x * (n - 1 - i) / 4 if i >= n - 4 else x for i, x in enumerate(a)], abs=1e-8)
