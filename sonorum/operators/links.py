@@ -6,6 +6,9 @@ counts (`relational.dense_number`), never by one task that sees all rows.
 
 from __future__ import annotations
 
+import tempfile
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,17 +65,35 @@ def shared_suffixes(items: DataFrame, key: str, order: str, value: str) -> DataF
     return tall.groupBy(F.slice("seq", F.size("seq") - F.col("length") + 1, F.col("length")).alias("suffix"), "length").agg(F.count(F.lit(1)).alias("uses"))
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """The rows as written under ``spark.checkpoint.dir`` (a local folder only where none is), without their lineage."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="sonorum-shared-"))
+    return df.checkpoint()
+
+
+def _gathered(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
+    return _cut(reduce(DataFrame.unionByName, parts).coalesce(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def sequences(spark: SparkSession, items: DataFrame, key: str, order: str, value: str, first: int, levels: int = 64) -> tuple[DataFrame, DataFrame]:
-    """The links of a left fold and each key's last link; one join a level, for sequences of at most `levels` items [G5]."""
+    """The links of a left fold and each key's last link [G5].
+
+    One join a level, up to the longest sequence.  Each level is written, so
+    plans do not grow; what `levels` levels made is gathered into one table.
+    """
     seq = items.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("seq"))
-    state = seq.select(key, "seq", F.get("seq", F.lit(0)).alias("idx"))
-    longest = min(levels, seq.agg(F.max(F.size("seq"))).first()[0] or 0)
-    links, following = None, first
+    state = _cut(seq.select(key, "seq", F.get("seq", F.lit(0)).alias("idx")))
+    longest = state.agg(F.max(F.size("seq"))).first()[0] or 0
+    made, ends, following = [], [state.where(F.size("seq") <= 1).select(key, "idx")], first
     for k in range(1, longest):
-        pairs = state.where(F.size("seq") > k).select(F.col("idx").alias("source"), F.get("seq", F.lit(k)).alias("target"), F.col(key))
-        own = create(pairs, key, following)
+        going = state.where(F.size("seq") > k).select(key, "seq", F.col("idx").alias("source"), F.get("seq", F.lit(k)).alias("target"))
+        own = _cut(create(going, key, following))
         following += own.count()
-        links = own if links is None else links.unionByName(own)
-        ended = state.where(F.size("seq") <= k)
-        state = ended.unionByName(state.where(F.size("seq") > k).withColumnRenamed("idx", "source").withColumn("target", F.get("seq", F.lit(k))).join(own, ["source", "target"]).select(key, "seq", "idx"))
-    return links if links is not None else spark.createDataFrame([], LINKS), state.select(key, "idx")
+        state = _cut(going.join(own, ["source", "target"]).select(key, "seq", "idx"))
+        made.append(own)
+        ends.append(state.where(F.size("seq") == k + 1).select(key, "idx"))
+        if len(made) >= levels:
+            made, ends = [_gathered(spark, made)], [_gathered(spark, ends)]
+    return _gathered(spark, made) if made else spark.createDataFrame([], LINKS), _gathered(spark, ends)

@@ -84,3 +84,21 @@ def test_fades_reach_the_true_ends(spark):
         edge = [min(i, n - 1 - i) for i in range(n)]
         assert r.faded == pytest.approx([x * (edge[i] + 1) / 4 if edge[i] < 3 else x for i, x in enumerate(a)], abs=1e-8)
         assert r.tail == pytest.approx([x * (n - 1 - i) / 4 if i >= n - 4 else x for i, x in enumerate(a)], abs=1e-8)
+
+
+def test_sequences_longer_than_the_levels(spark):
+    from sonorum.operators import links
+
+    rows = {1: [1, 2, 3, 1, 2, 3, 4], 2: [1, 2, 3, 1, 2, 3, 5], 3: [1, 2, 3], 4: [9]}
+    items = spark.createDataFrame([(k, o, v) for k, vs in rows.items() for o, v in enumerate(vs)], "k long, o long, v long")
+    made, last = links.sequences(spark, items, "k", "o", "v", first=100, levels=3)
+    pair = {(r.source, r.target): r.idx for r in made.collect()}
+    assert sorted(pair.values()) == list(range(100, 107))
+
+    def fold(values):
+        idx = values[0]
+        for v in values[1:]:
+            idx = pair[idx, v]
+        return idx
+
+    assert {r.k: r.idx for r in last.collect()} == {k: fold(vs) for k, vs in rows.items()}
