@@ -4,9 +4,10 @@ A line's key is the line stripped of ASCII white space, in ASCII lower case.  A
 batch of documents becomes one sorted run: key hash (128 bits) and the number of
 its documents that hold the key.  Runs lie in levels; when a level holds FANOUT
 runs they are merged into one run of the next level, so a key is rewritten once
-a level.  A batch can be merge-anti-joined with the runs before it is added
-(`fresh`), which leaves the lines that no batch before held; over all runs, the
-summed counts give the keys that at least MIN_DOCS documents hold (`frequent`).
+a level.  Each batch is merge-anti-joined with the runs before it is added
+(`fresh`), which leaves the keys that the batches before do not hold yet, or in
+fewer than MIN_DOCS documents; over all runs, the summed counts give the keys that
+at least MIN_DOCS documents hold (`frequent`).
 
 `drop_lines` takes all lines of frequent keys out of every document.  Frequent
 keys are handed to all tasks only while they are at most BROADCAST_KEYS (16
@@ -93,9 +94,11 @@ class LineRuns:
             return self.spark.createDataFrame([], RUN)
         return self.spark.read.schema(RUN).parquet(*paths)
 
-    def fresh(self, batch: DataFrame) -> DataFrame:
-        """The batch's keys that no run holds."""
-        return batch.join(self.rows().select("h1", "h2"), ["h1", "h2"], "left_anti")
+    def fresh(self, batch: DataFrame, min_docs: int = 1) -> DataFrame:
+        """The batch's keys that the runs do not hold in min_docs documents yet (by default: that no run holds)."""
+        if not any(self.levels):
+            return batch
+        return batch.join(self.frequent(min_docs).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
 
     def add(self, batch: DataFrame) -> None:
         """Add a batch's counts as a run of level 0 and compact what is full."""
@@ -119,7 +122,7 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES
     counted = written(line_counts(docs, batches), f"{top}/batches")
     runs = LineRuns(spark, f"{top}/runs")
     for b in range(batches):
-        runs.add(counted.where(F.col("batch") == b))
+        runs.add(runs.fresh(counted.where(F.col("batch") == b), min_docs))
     heavy = written(runs.frequent(min_docs).select("h1", "h2"), f"{top}/frequent")
     dropped(spark, f"{top}/batches", f"{top}/runs")
     released(spark)
