@@ -158,7 +158,7 @@ class Index:
         """Ids and exact scores of the k best rows other than the query's own."""
         weights = np.round(query / (1 << WEIGHT_SHIFT)).astype(np.int64)
         total = self.coarse_sums(weights)
-        threshold = self.leaders(total, k + 1)
+        threshold = self.leaders(total, k + int((self.ids == query_id).sum()))
         # a score is 2^(shift + weight shift) * coarse sum + terms that the norms bound
         unit = 1 << (self.shift + WEIGHT_SHIFT)
         lost = query - (weights << WEIGHT_SHIFT)

@@ -1,6 +1,19 @@
 """Corpus operators on rows that repeat."""
 
-from sonorum.llm import line_dedup
+import numpy as np
+
+from sonorum.llm import bitslice_topk, line_dedup
+
+
+def test_topk_of_repeated_query_ids(spark):
+    """As in the SQL, every row of a repeated query id asks, and its ranks are those of all their answers."""
+    rng = np.random.default_rng(4)
+    top = rng.standard_normal(12)
+    rows = [(100, (3 * top + rng.standard_normal(12) / 9).tolist()) for _ in range(30)] + [(i * 7 + 1, rng.standard_normal(12).tolist()) for i in range(60)]
+    got = bitslice_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("query_id = 100").collect()
+    own = [(i, np.floor(1024 * np.array(v)).astype(int)) for i, v in rows]
+    best = sorted(((i, int(x @ y)) for q, x in own if q == 100 for i, y in own if i != 100), key=lambda p: (-p[1], p[0]))[:10]
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == best
 
 
 def test_later_batches_are_anti_joined(spark, monkeypatch):
