@@ -84,7 +84,8 @@ class Reader:
         n = max(1, len(words))
         counts = Counter(words)
         told = {w: self.word(w) for w in counts}
-        weights = sorted((v for w, c in counts.items() if (v := told[w][0]) > 0 for _ in range(min(c, 50))), reverse=True)
+        heavy = [(told[w][0], c) for w, c in counts.items() if told[w][0] > 0]
+        weights = sorted((v for v, c in heavy for _ in range(min(c, 3))), reverse=True)[:3]
         learned = sum(c for w, c in counts.items() if told[w][0] > 0)
         insults = sum(c for w, c in counts.items() if told[w][1] & 1)
         second = sum(c for w, c in counts.items() if told[w][1] & 2)
@@ -97,8 +98,8 @@ class Reader:
         upper = sum(c * sum(map(str.isupper, w)) for w, c in counts.items() if not w.islower())
         shout = sum(c for w, c in counts.items() if len(w) > 2 and w.isupper())
         return [
-            math.log1p(len(words)), insults / n, math.log1p(insults), learned / n, math.log1p(learned), sum(weights) / n,
-            weights[0] if weights else 0.0, sum(weights[:3]), near / n, math.log1p(near), second / n, upper / letters, shout / n,
+            math.log1p(len(words)), insults / n, math.log1p(insults), learned / n, math.log1p(learned), math.fsum(v * c for v, c in heavy) / n,
+            weights[0] if weights else 0.0, sum(weights), near / n, math.log1p(near), second / n, upper / letters, shout / n,
             text.count("!") / chars, text.count("?") / chars, sum(c for w, c in counts.items() if told[w][1] & 4) / n,
             len(SYMBOLS.findall(text)) / chars, len(counts) / n,
         ]

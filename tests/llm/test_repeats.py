@@ -1,8 +1,9 @@
 """Corpus operators on rows that repeat."""
 
 import numpy as np
+import pytest
 
-from sonorum.llm import bitslice_topk, line_dedup
+from sonorum.llm import bitslice_topk, line_dedup, toxicity
 
 
 def test_topk_of_repeated_query_ids(spark):
@@ -29,3 +30,10 @@ def test_later_batches_are_anti_joined(spark, monkeypatch):
     assert got == {i: f"own {i}\npair {i // 2}" for i in range(60)}
     common = tuple(line_dedup.as_longs([line_dedup.key_hash(b"common")])[0])
     assert [common in a for a in added] == [True, False, False, False]  # the first batch holds it in more than 5 documents
+
+
+@pytest.mark.parametrize("times", [1, 100])
+def test_density_does_not_depend_on_length(times):
+    x = toxicity.Reader({"vile": 2.0, "nasty": 3.0})(" ".join((["vile"] * 5 + ["nasty"] + ["good"] * 194) * times))
+    assert x[5] == pytest.approx((5 * 2.0 + 3.0) / 200)
+    assert x[6] == 3.0 and x[7] == (7.0 if times == 1 else 9.0)
