@@ -14,14 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that one step of an Arrow function handles at a time.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
+#: Bytes of an Arrow batch on its way to or from Python: whole texts may be long, so batches are cut by bytes as well as by rows.
+BATCH_BYTES = 4_000_000
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that they need no copy of it installed."""
+    """Send this package to the executors once per application, so that they need no copy of it installed, and bound Arrow batches."""
     context = spark.sparkContext
+    spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     if context.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -38,13 +42,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a local one is set only where none is (as in tests)."""
+    """A new folder under ``spark.checkpoint.dir``; a local one is set only where none is and Spark runs on this machine alone (as in tests)."""
     context = spark.sparkContext
     top = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         held = context._jsc.sc().getCheckpointDir()
         if held.isDefined():
             top = held.get()
+        elif not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             top = "file://" + tempfile.mkdtemp(prefix="sonorum-shared-")
             context.setCheckpointDir(top)

@@ -36,6 +36,7 @@ empty table gives an empty table; other columns are not carried on.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,7 +56,9 @@ FREQUENT_LIMIT = 2_000_000
 #: Class ids that a scan filters by (8 bytes each); beyond that the join filters.
 FILTER_LIMIT = 2_000_000
 #: Shingles that one task counts or groups at a time.
-BUCKET_TOKENS = 4_000_000
+BUCKET_TOKENS = 1_000_000
+#: Tokens that a task packs before it sends them, and class ids by which it knows sets that it has sent (a repeat costs time only).
+PACKED_TOKENS, SEEN_SETS = 500_000, 500_000
 KEY_BITS = 32
 #: Rounds behind the first (the last one takes all pairs across components; those before it, one more star a list),
 #: and the pairs a row of the lists from which another star comes before all pairs.
@@ -141,7 +144,7 @@ def signatures(tokens: np.ndarray, frequency: np.ndarray, percent: int) -> tuple
 class Packer:
     """Arrays by bucket, sent as one row a bucket once they are many."""
 
-    def __init__(self, buckets: int, limit: int = 2_000_000):
+    def __init__(self, buckets: int, limit: int = PACKED_TOKENS):
         self.buckets, self.limit = buckets, limit
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.held = 0
@@ -179,6 +182,8 @@ class Sets:
                 fresh = []
                 for i in take:
                     if int(ids[i]) not in self.seen:
+                        if len(self.seen) >= SEEN_SETS:
+                            self.seen.clear()
                         self.seen.add(int(ids[i]))
                         fresh.append(i)
                 take = fresh
@@ -363,7 +368,7 @@ def components(links: DataFrame, folder: str) -> DataFrame:
     spark = links.sparkSession
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{folder}/edges-0")
     state = None
-    for k in range(1, 100):
+    for k in itertools.count(1):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
