@@ -19,12 +19,15 @@ Only the order decides what is cheap, never what is found: a frequency that is
 off changes prefixes, not results.
 
 Signatures go through one packed exchange in which those that only one class
-has disappear.  What is left are posting lists.  The first round verifies each
-list's classes against three hubs, which is linear in the lists; links give
-components.  Where STAR_ROUNDS allows and lists still have many classes outside
-their hub's component, further rounds take one of these as the next hub.  The last round verifies all
-pairs of a list that lie in different components and have not met a hub.  Every
-pair that shares a signature is therefore verified or known to be connected.
+has disappear.  What is left are posting lists, and each has a hub, the class
+that most lists hold.  First every class meets one hub, the best of its lists;
+then, in each list, the classes outside the component of its hub meet that hub.
+Both are linear in the lists.  Classes still outside meet all others of their
+list at last, except those of their own component: long lists are cut into
+blocks of BLOCK classes, a block meets a block as a matrix of parity sketches,
+and only the pairs that the sketches leave become rows.  Every pair that shares
+a signature is therefore verified, ruled out or known to be connected.  After
+each step components are made of the new links alone, between the labels so far.
 Before sets are compared, parity sketches (one bit for a shingle or two) bound
 the difference from below and drop pairs that cannot link, never one that can.
 
@@ -32,6 +35,9 @@ Defined results: null or empty text and text without words: 0 shingles, its own
 component, linked with nothing; repeated rows fall into one component; a null
 doc_id takes part and never names a component unless no other id is in it; an
 empty table gives an empty table; other columns are not carried on.
+
+Sets are told apart by 64-bit ids and hold 64-bit hashes of their shingles: of
+10^9 different sets, 0.03 pairs are expected to be taken for equal by mistake.
 """
 
 from __future__ import annotations
@@ -60,9 +66,8 @@ BUCKET_TOKENS = 1_000_000
 #: Tokens that a task packs before it sends them, and class ids by which it knows sets that it has sent (a repeat costs time only).
 PACKED_TOKENS, SEEN_SETS = 500_000, 500_000
 KEY_BITS = 32
-#: Rounds behind the first (the last one takes all pairs across components; those before it, one more star a list),
-#: and the pairs a row of the lists from which another star comes before all pairs.
-STAR_ROUNDS, PRODUCTS = 1, 8
+#: Classes of one list that one step compares with as many others.
+BLOCK = 1024
 
 U = np.uint64
 
@@ -384,6 +389,100 @@ def components(links: DataFrame, folder: str) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
+def _labelled(rows: DataFrame, labels: DataFrame | None, node: str, name: str) -> DataFrame:
+    """rows with the label of a node; a node without links is its own."""
+    if labels is None:
+        return rows.withColumn(name, F.col(node))
+    own = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
+    return rows.join(own, F.col(node) == F.col("_node"), "left").withColumn(name, F.coalesce("_label", node)).drop("_node", "_label")
+
+
+def _relabelled(labels: DataFrame | None, links: DataFrame, folder: str) -> DataFrame:
+    """Labels after more links (a, b): only the labels that the links join go through another round of components."""
+    joined = _labelled(_labelled(links, labels, "a", "la"), labels, "b", "lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    found = components(joined, folder)
+    if labels is None:
+        return found
+    moved = _labelled(labels.select("node", F.col("label").alias("before")), found, "before", "label").select("node", "label")
+    return moved.unionByName(found.join(labels, "node", "left_anti"))
+
+
+def close_pairs(labels: np.ndarray, n: np.ndarray, sketches: list[bytes], left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i of left, j of right) that differ in label and that sizes and sketches leave, compared as matrices of words."""
+    width = np.array([len(x) // 8 for x in sketches], np.int64)
+    out_i, out_j = [], []
+    for w in np.unique(width):
+        same = np.flatnonzero(width == w)
+        wide = np.flatnonzero((width > w) & (width <= 4 * w))
+        near = np.concatenate([same, wide])
+        words = np.empty((len(near), w), U)
+        for row, k in enumerate(near):
+            x = np.frombuffer(sketches[k], "<u8")
+            while len(x) > w:
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            words[row] = x
+        at = {True: np.flatnonzero(left[near]), False: np.flatnonzero(right[near])}
+        step = max(1, 4_000_000 // max(1, 8 * w * len(at[False])))
+        for start in range(0, len(at[True]), step):
+            a, b = at[True][start : start + step], at[False]
+            least = np.bitwise_count(words[a][:, None, :] ^ words[b][None, :, :]).sum(2, dtype=np.int64)
+            n_a, n_b = n[near[a]][:, None], n[near[b]][None, :]
+            fits = (100 * (n_a + n_b - least) >= percent * (n_a + n_b + least)) & (n_a * 100 >= n_b * percent) & (n_b * 100 >= n_a * percent)
+            fits &= labels[near[a]][:, None] != labels[near[b]][None, :]
+            # a pair of one width is met once; of two widths where the smaller one is the base
+            fits &= (np.arange(len(near)) < len(same))[a][:, None] | (np.arange(len(near)) < len(same))[b][None, :]
+            i, j = np.nonzero(fits)
+            out_i.append(near[a][i]), out_j.append(near[b][j])
+    empty = np.zeros(0, np.int64)
+    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (empty, empty)
+
+
+def _close(entries: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of one list, one of them outside its hub's component, of unlike labels, that sizes and sketches leave.
+
+    entries: sig, set_id, label, n, sketch, outside, rows (of the list).  A list
+    of more than BLOCK classes is cut into blocks, and every block of outside
+    classes meets every block: no task holds more than two blocks at a time,
+    and only the pairs that are left are rows.
+    """
+    parts = F.ceil(F.col("rows") / F.lit(float(BLOCK))).cast("int")
+    own = F.pmod(F.xxhash64("set_id", F.lit(7)), F.col("parts")).cast("int")
+    dealt = entries.withColumn("parts", parts).withColumn("own", own)
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("outside").alias("left"), F.lit(True).alias("right")))
+    asks = F.transform(every, lambda k: F.struct(F.col("own").alias("i"), k.alias("j"), F.lit(True).alias("left"), F.lit(False).alias("right")))
+    meets = F.transform(every, lambda k: F.struct(k.alias("i"), F.col("own").alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right")))
+    roles = F.when(F.col("parts") == 1, one).when(F.col("outside"), F.concat(asks, meets)).otherwise(meets)
+    tall = dealt.select("sig", "set_id", "label", "n", "sketch", F.explode(roles).alias("r")).select("sig", "r.i", "r.j", "r.left", "r.right", "set_id", "label", "n", "sketch")
+
+    def compare(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows)
+        ids, labels, n = (table.column(c).to_numpy() for c in ("set_id", "label", "n"))
+        i, j = close_pairs(labels, n, table.column("sketch").to_pylist(), table.column("left").to_numpy(), table.column("right").to_numpy(), percent)
+        low, high = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("sig", "i", "j")])
+            edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1 if batch.num_rows else np.zeros(0, np.int64)
+            for a, b in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+                if a == b:
+                    continue
+                now = tuple(keys[:, a])
+                if held and now != key:
+                    yield compare(held)
+                    held = []
+                key = now
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield compare(held)
+
+    return tall.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(run, "a long, b long").distinct()
+
+
 def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, rare: int = RARE, frequent_limit: int = FREQUENT_LIMIT, filter_limit: int = FILTER_LIMIT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
@@ -397,51 +496,42 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
     released(spark)
     lists = written(_lists(docs, k, percent, total, frequent), f"{top}/lists")
     released(spark)
-    # hubs of a list: the class that most lists hold, which is likely the middle of a group, and the smallest and largest id
+    # the hub of a list is the class that most lists hold, which is likely the middle of a group
     held = lists.groupBy("set_id").agg(F.count(F.lit(1)).alias("lists"))
     weighed = lists.join(held, "set_id").select("sig", "set_id", F.struct("lists", "set_id").alias("w"))
-    hubs = weighed.groupBy("sig").agg(F.max("w")["set_id"].alias("hub"), F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low < high")
+    hubs = weighed.groupBy("sig").agg(F.max("w").alias("w"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("sig", F.col("w.set_id").alias("hub"), F.col("w.lists").alias("lists"), "rows")
     hubs = written(hubs, f"{top}/hubs")
-    shared = written(lists.join(hubs.select("sig"), "sig", "left_semi"), f"{top}/shared")
-    dropped(spark, f"{top}/lists")
+    shared = written(lists.join(hubs, "sig").select("sig", "set_id", "hub", "lists", "rows"), f"{top}/shared")
+    dropped(spark, f"{top}/lists", f"{top}/hubs")
     tokens = written(_tokens(docs, sets.join(shared.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "first_id"), k, filter_limit), f"{top}/tokens")
     released(spark)
-    members_of = shared.select("sig", "set_id")
 
-    def met(n: int, labels: DataFrame | None, pairs: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """Verify pairs; all links so far, and the components that they make."""
-        left = written(_pruned(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), sets, percent), f"{top}/pairs-{n}")
-        released(spark)
+    def met(n: int, labels: DataFrame | None, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Verify pairs (a, b): those taken up, and the labels that their links make."""
+        asked = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), f"{top}/asked-{n}")
+        left = written(_pruned(asked, sets, percent), f"{top}/pairs-{n}")
         found = written(_verified(tokens, left, percent, filter_limit), f"{top}/links-{n}")
+        dropped(spark, f"{top}/pairs-{n}")
+        after = written(_relabelled(labels, found, f"{top}/cc-{n}"), f"{top}/labels-{n}")
+        dropped(spark, f"{top}/links-{n}", f"{top}/cc-{n}")
         released(spark)
-        links = found if links is None else links.unionByName(found)
-        return links, written(components(links, f"{top}/cc-{n}"), f"{top}/labels-{n}")
-
-    stars = members_of.join(hubs, "sig").select(F.col("set_id").alias("a"), F.explode(F.array_distinct(F.array("hub", "low", "high"))).alias("b"))
-    links, labels = met(1, None, stars, None)
-    label = F.coalesce("label", "set_id")
-    for n in range(2, 2 + STAR_ROUNDS):
-        # of each list the classes outside its hub's component
-        known = members_of.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("sig", "set_id", label.alias("label"))
-        hub_label = hubs.join(labels.withColumnRenamed("node", "hub"), "hub", "left").select("sig", "hub", "low", "high", F.coalesce("label", "hub").alias("hub_label"))
-        rest = known.join(hub_label, "sig").where("set_id not in (hub, low, high)").join(sets.select("set_id", "n"), "set_id")
-        open_lists = written(rest.select("sig", "set_id", "label", "n", (F.col("label") != F.col("hub_label")).alias("outside")), f"{top}/open-{n}")
-        released(spark)
-        sizes = open_lists.groupBy("sig").agg(F.count(F.lit(1)).alias("rows"), F.count_if("outside").alias("out"), F.min_by("set_id", F.struct(~F.col("outside"), F.xxhash64("set_id", F.lit(n)))).alias("next"), F.min_by("label", F.struct(~F.col("outside"), F.xxhash64("set_id", F.lit(n)))).alias("next_label"))
-        sizes = written(sizes.where("out > 0"), f"{top}/sizes-{n}")
-        rows, products = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum(F.col("rows") * F.col("out")), F.lit(0))).first()
-        last = n == 1 + STAR_ROUNDS or products <= PRODUCTS * rows
-        if last:
-            a = open_lists.where("outside").select("sig", F.col("set_id").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("m_a"))
-            b = open_lists.select("sig", F.col("set_id").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("m_b"), F.col("outside").alias("outside_b"))
-            near = (F.col("m_a") * 100 >= F.col("m_b") * percent) & (F.col("m_b") * 100 >= F.col("m_a") * percent)
-            cross = a.join(b, (a["sig"] == b["sig"]) & (F.col("label_a") != F.col("label_b")) & (~F.col("outside_b") | (F.col("a") < F.col("b"))) & near)
-        else:  # one more star: an outside class of each list against all of other components
-            cross = open_lists.join(sizes.select("sig", "next", "next_label"), "sig").where("label <> next_label").select(F.col("next").alias("a"), F.col("set_id").alias("b"))
-        links, labels = met(n, labels, cross.select("a", "b"), links)
-        if last:
-            break
+        return asked, after
+
+    # one: every class meets the hub that most lists hold among those of its own lists
+    best = shared.groupBy("set_id").agg(F.max(F.struct("lists", "hub"))["hub"].alias("b")).select(F.col("set_id").alias("a"), "b")
+    asked, labels = met(1, None, best)
+    # two: in each list the classes outside the component of its hub meet the hub
+    listed = lambda: _labelled(_labelled(shared, labels, "set_id", "label"), labels, "hub", "hub_label")
+    others = listed().where("label <> hub_label").select(F.least("set_id", "hub").alias("a"), F.greatest("set_id", "hub").alias("b")).distinct()
+    _, labels = met(2, labels, others.join(asked, ["a", "b"], "left_anti"))
+    dropped(spark, f"{top}/asked-1", f"{top}/asked-2", f"{top}/labels-1")
+    # three: those still outside meet all others of the list, in blocks
+    entries = written(listed().select("sig", "set_id", "hub", "label", "rows", (F.col("label") != F.col("hub_label")).alias("outside")), f"{top}/entries")
+    open_lists = entries.where("outside").select("sig").distinct()
+    rest = entries.join(open_lists, "sig", "left_semi").where("set_id <> hub").join(sets.select("set_id", "n", "sketch"), "set_id")
+    _, labels = met(3, labels, _close(rest.select("sig", "set_id", "label", "n", "sketch", "outside", "rows"), percent))
+    dropped(spark, *(f"{top}/{x}" for x in ("entries", "shared", "tokens", "asked-3", "labels-2")))
     released(spark)
-    labelled = sets.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", label.alias("label"), "first_id")
+    labelled = _labelled(sets.select("set_id", "first_id"), labels, "set_id", "label")
     named = labelled.groupBy("label").agg(F.min("first_id").alias("component_id")).join(labelled.select("set_id", "label"), "label").select("set_id", "component_id")
     return members.join(named, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
