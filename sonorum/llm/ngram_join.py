@@ -68,6 +68,8 @@ PACKED_TOKENS, SEEN_SETS = 500_000, 500_000
 KEY_BITS = 32
 #: Classes of one list that one step compares with as many others.
 BLOCK = 1024
+#: Pairs that are looked at together, and signatures of a class by which lists share out their common pairs.
+PAIRS_AT_ONCE, LOWEST = 500_000, 8
 
 U = np.uint64
 
@@ -407,43 +409,74 @@ def _relabelled(labels: DataFrame | None, links: DataFrame, folder: str) -> Data
     return moved.unionByName(found.join(labels, "node", "left_anti"))
 
 
-def close_pairs(labels: np.ndarray, n: np.ndarray, sketches: list[bytes], left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i of left, j of right) that differ in label and that sizes and sketches leave, compared as matrices of words."""
+def _folded(sketches: list[bytes], rows: np.ndarray, width: int) -> np.ndarray:
+    """The sketches of some rows, folded to so many words."""
+    out = np.empty((len(rows), width), U)
+    for at, k in enumerate(rows):
+        x = np.frombuffer(sketches[k], "<u8")
+        while len(x) > width:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        out[at] = x
+    return out
+
+
+def close_pairs(part: dict[str, np.ndarray], sketches: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the entries of whole lists: pairs of one list that differ in label and that sizes and sketches leave.
+
+    part: list (number of each entry's list, ascending), sig, set_id, label, n,
+    left, right, low (least signatures of the class).  A pair that is sure to
+    meet in a list of a smaller signature too is left to that list.
+    """
+    rights = np.flatnonzero(part["right"])
+    lefts = np.flatnonzero(part["left"])
+    begin = np.searchsorted(part["list"][rights], part["list"][lefts], "left")
+    count = np.searchsorted(part["list"][rights], part["list"][lefts], "right") - begin
     width = np.array([len(x) // 8 for x in sketches], np.int64)
-    out_i, out_j = [], []
-    for w in np.unique(width):
-        same = np.flatnonzero(width == w)
-        wide = np.flatnonzero((width > w) & (width <= 4 * w))
-        near = np.concatenate([same, wide])
-        words = np.empty((len(near), w), U)
-        for row, k in enumerate(near):
-            x = np.frombuffer(sketches[k], "<u8")
-            while len(x) > w:
-                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-            words[row] = x
-        at = {True: np.flatnonzero(left[near]), False: np.flatnonzero(right[near])}
-        step = max(1, 4_000_000 // max(1, 8 * w * len(at[False])))
-        for start in range(0, len(at[True]), step):
-            a, b = at[True][start : start + step], at[False]
-            least = np.bitwise_count(words[a][:, None, :] ^ words[b][None, :, :]).sum(2, dtype=np.int64)
-            n_a, n_b = n[near[a]][:, None], n[near[b]][None, :]
-            fits = (100 * (n_a + n_b - least) >= percent * (n_a + n_b + least)) & (n_a * 100 >= n_b * percent) & (n_b * 100 >= n_a * percent)
-            fits &= labels[near[a]][:, None] != labels[near[b]][None, :]
-            # a pair of one width is met once; of two widths where the smaller one is the base
-            fits &= (np.arange(len(near)) < len(same))[a][:, None] | (np.arange(len(near)) < len(same))[b][None, :]
-            i, j = np.nonzero(fits)
-            out_i.append(near[a][i]), out_j.append(near[b][j])
-    empty = np.zeros(0, np.int64)
-    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (empty, empty)
+    out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    total = np.concatenate([[0], np.cumsum(count)])
+    start = 0
+    while start < len(lefts):
+        end = max(start + 1, int(np.searchsorted(total, total[start] + PAIRS_AT_ONCE, "right")) - 1)
+        own = count[start:end]
+        i = np.repeat(lefts[start:end], own)
+        j = rights[np.arange(len(i)) - np.repeat(total[start:end] - total[start], own) + np.repeat(begin[start:end], own)]
+        start = end
+        n_i, n_j, ids = part["n"][i], part["n"][j], part["set_id"]
+        fits = (part["label"][i] != part["label"][j]) & (100 * n_i >= percent * n_j) & (100 * n_j >= percent * n_i)
+        fits &= (ids[i] < ids[j]) | ~(part["left"][j] & part["right"][i])
+        i, j = i[fits], j[fits]
+        keep = np.ones(len(i), bool)
+        for at in range(0, len(i), 50_000):
+            x, y = part["low"][i[at : at + 50_000]], part["low"][j[at : at + 50_000]]
+            below = x < part["sig"][i[at : at + 50_000]][:, None]
+            shared = np.zeros(x.shape, bool)
+            for k in range(y.shape[1]):
+                shared |= x == y[:, k : k + 1]
+            keep[at : at + 50_000] = ~(shared & below).any(1)
+        i, j = i[keep], j[keep]
+        least = np.minimum(width[i], width[j])
+        for w in np.unique(least):
+            at = np.flatnonzero(least == w)
+            rows, back = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+            words = _folded(sketches, rows, int(w))
+            step = max(1, 500_000 // int(w))
+            for k in range(0, len(at), step):
+                some = at[k : k + step]
+                a, b = back[k : k + len(some)], back[len(at) + k : len(at) + k + len(some)]
+                apart = np.bitwise_count(words[a] ^ words[b]).sum(1, dtype=np.int64)
+                both = part["n"][i[some]] + part["n"][j[some]]
+                near = 100 * (both - apart) >= percent * (both + apart)
+                out_i.append(i[some][near]), out_j.append(j[some][near])
+    return np.concatenate(out_i), np.concatenate(out_j)
 
 
 def _close(entries: DataFrame, percent: int) -> DataFrame:
     """a, b: pairs of one list, one of them outside its hub's component, of unlike labels, that sizes and sketches leave.
 
-    entries: sig, set_id, label, n, sketch, outside, rows (of the list).  A list
-    of more than BLOCK classes is cut into blocks, and every block of outside
-    classes meets every block: no task holds more than two blocks at a time,
-    and only the pairs that are left are rows.
+    entries: sig, set_id, label, n, sketch, low, outside, rows (of the list).  A
+    list of more than BLOCK classes is cut into blocks, and every block of
+    outside classes meets every block: no task holds more than two blocks of one
+    list at a time, and only the pairs that are left are rows.
     """
     parts = F.ceil(F.col("rows") / F.lit(float(BLOCK))).cast("int")
     own = F.pmod(F.xxhash64("set_id", F.lit(7)), F.col("parts")).cast("int")
@@ -453,32 +486,40 @@ def _close(entries: DataFrame, percent: int) -> DataFrame:
     asks = F.transform(every, lambda k: F.struct(F.col("own").alias("i"), k.alias("j"), F.lit(True).alias("left"), F.lit(False).alias("right")))
     meets = F.transform(every, lambda k: F.struct(k.alias("i"), F.col("own").alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right")))
     roles = F.when(F.col("parts") == 1, one).when(F.col("outside"), F.concat(asks, meets)).otherwise(meets)
-    tall = dealt.select("sig", "set_id", "label", "n", "sketch", F.explode(roles).alias("r")).select("sig", "r.i", "r.j", "r.left", "r.right", "set_id", "label", "n", "sketch")
+    held = ["set_id", "label", "n", "sketch", "low"]
+    tall = dealt.select("sig", *held, F.explode(roles).alias("r")).select("sig", "r.i", "r.j", "r.left", "r.right", *held)
 
     def compare(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows)
-        ids, labels, n = (table.column(c).to_numpy() for c in ("set_id", "label", "n"))
-        i, j = close_pairs(labels, n, table.column("sketch").to_pylist(), table.column("left").to_numpy(), table.column("right").to_numpy(), percent)
-        low, high = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-        return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
+        part = {c: table.column(c).to_numpy() for c in ("sig", "i", "j", "left", "right", "set_id", "label", "n")}
+        edge = np.zeros(table.num_rows, bool)
+        for c in ("sig", "i", "j"):
+            edge[1:] |= part[c][1:] != part[c][:-1]
+        part["list"] = np.cumsum(edge)
+        part["low"] = np.frombuffer(b"".join(table.column("low").to_pylist()), ">i8").reshape(table.num_rows, LOWEST).astype(np.int64)
+        i, j = close_pairs(part, table.column("sketch").to_pylist(), percent)
+        ids = part["set_id"]
+        pairs = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        key = None
+        waiting: list[pa.RecordBatch] = []
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("sig", "i", "j")])
-            edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1 if batch.num_rows else np.zeros(0, np.int64)
-            for a, b in zip([0, *edges], [*edges, batch.num_rows], strict=True):
-                if a == b:
-                    continue
-                now = tuple(keys[:, a])
-                if held and now != key:
-                    yield compare(held)
-                    held = []
-                key = now
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield compare(held)
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "i", "j")]
+            edges = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+            goes_on = bool(waiting) and all(waiting[-1].column(c)[waiting[-1].num_rows - 1].as_py() == k[0] for c, k in zip(("sig", "i", "j"), keys, strict=True))
+            if waiting and not goes_on:
+                yield compare(waiting)
+                waiting = []
+            last = int(edges[-1]) if len(edges) else 0
+            if last:
+                yield compare([*waiting, batch.slice(0, last)])
+                waiting = []
+            waiting.append(batch.slice(last))
+        if waiting:
+            yield compare(waiting)
 
     return tall.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
@@ -528,9 +569,13 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
     # three: those still outside meet all others of the list, in blocks
     entries = written(listed().select("sig", "set_id", "hub", "label", "rows", (F.col("label") != F.col("hub_label")).alias("outside")), f"{top}/entries")
     open_lists = entries.where("outside").select("sig").distinct()
-    rest = entries.join(open_lists, "sig", "left_semi").where("set_id <> hub").join(sets.select("set_id", "n", "sketch"), "set_id")
-    _, labels = met(3, labels, _close(rest.select("sig", "set_id", "label", "n", "sketch", "outside", "rows"), percent))
-    dropped(spark, *(f"{top}/{x}" for x in ("entries", "shared", "tokens", "asked-3", "labels-2")))
+    rest = written(entries.join(open_lists, "sig", "left_semi").where("set_id <> hub"), f"{top}/rest")
+    # the least signatures of a class, as sortable bytes of one length
+    least = F.slice(F.array_sort(F.concat(F.collect_list("sig"), F.array_repeat(F.lit((1 << 63) - 1), LOWEST))), 1, LOWEST)
+    low = rest.groupBy("set_id").agg(F.unhex(F.array_join(F.transform(least, lambda x: F.lpad(F.hex(x), 16, "0")), "")).alias("low"))
+    known = rest.join(low.join(sets.select("set_id", "n", "sketch"), "set_id"), "set_id")
+    _, labels = met(3, labels, _close(known.select("sig", "set_id", "label", "n", "sketch", "low", "outside", "rows"), percent))
+    dropped(spark, *(f"{top}/{x}" for x in ("entries", "rest", "shared", "tokens", "asked-3", "labels-2")))
     released(spark)
     labelled = _labelled(sets.select("set_id", "first_id"), labels, "set_id", "label")
     named = labelled.groupBy("label").agg(F.min("first_id").alias("component_id")).join(labelled.select("set_id", "label"), "label").select("set_id", "component_id")
