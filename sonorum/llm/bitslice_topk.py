@@ -17,7 +17,9 @@ Defined results: vectors that are null, empty of numbers, or hold null or
 non-finite components take no part, as query or candidate; rows with a null
 vec_id neither; vectors of unlike length are compared over the components both
 have (missing ones count 0); of repeated vec_ids every row is a candidate, and
-a query's own row is each with its id; an empty table gives an empty result;
+a query's own row is each with its id, and of a query id on several rows every
+row asks; vectors so large that a score may exceed 64 bits raise OverflowError;
+an empty table gives an empty result;
 other columns are not read.
 """
 
@@ -36,7 +38,7 @@ SCALE = 1024
 K = 10
 EVERY = 100
 BLOCK = 8192
-QUERIES = 64
+QUERIES = 512
 #: Bits of an attribute below the index, and of a query's weights below its digits.
 SHIFT, WEIGHT_SHIFT = 6, 5
 WORD = np.uint64
@@ -156,6 +158,8 @@ class Index:
 
     def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and exact scores of the k best rows other than the query's own."""
+        if float(np.sqrt((query.astype(float) ** 2).sum())) * self.norm >= 2.0**62:
+            raise OverflowError(f"scores of vec_id {query_id} may exceed 64 bits")
         weights = np.round(query / (1 << WEIGHT_SHIFT)).astype(np.int64)
         total = self.coarse_sums(weights)
         threshold = self.leaders(total, k + int((self.ids == query_id).sum()))

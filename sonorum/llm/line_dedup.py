@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, dropped, released, scratch, ship, text_slices, written
+from .common import documents, dropped, released, scratch, ship, text_slices, unused, written
 
 MIN_DOCS = 10
 FANOUT = 4
@@ -145,10 +145,9 @@ def _kept(texts: list, gone) -> tuple[list[int], list[int], list[str]]:
     return n, n_dropped, kept
 
 
-def _result(part: pa.RecordBatch, found: tuple, keep_columns: bool) -> pa.RecordBatch:
+def _result(part: pa.RecordBatch, found: tuple, names: list[str] | None) -> pa.RecordBatch:
     n, n_dropped, kept = found
-    if keep_columns:
-        names = [x for x in part.schema.names if x != "_gone"]
+    if names:
         return pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if x == "text" else part.column(x) for x in names], names)
     return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_lines", "n_dropped", "text"])
 
@@ -160,15 +159,20 @@ def _schema(source: DataFrame, keep_columns: bool):
 def _by_keys(source: DataFrame, heavy: DataFrame, keep_columns: bool) -> DataFrame:
     keys = source.sparkSession.sparkContext.broadcast(frozenset(np.array([h1, h2], ">i8").tobytes() for h1, h2 in heavy.collect()))
 
+    names = source.columns if keep_columns else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = keys.value
         for part, texts in text_slices(batches):
-            yield _result(part, _kept(texts, lambda i, lines: [key_hash(x) in held for x in lines]), keep_columns)
+            yield _result(part, _kept(texts, lambda i, lines: [key_hash(x) in held for x in lines]), names)
 
     return source.mapInArrow(run, _schema(source, keep_columns))
 
 
 def _by_join(source: DataFrame, heavy: DataFrame, keep_columns: bool) -> DataFrame:
+    names = source.columns if keep_columns else None
+    gone_at, own_id, own_mark = unused(source, "_gone", "_doc_id", "_mark")
+
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches):
             ids, marks, places, digests = [], [], [], []
@@ -182,11 +186,11 @@ def _by_join(source: DataFrame, heavy: DataFrame, keep_columns: bool) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches):
-            places = [set(x or ()) for x in part.column("_gone").to_pylist()]
-            yield _result(part, _kept(texts, lambda i, lines: [k in places[i] for k in range(len(lines))]), keep_columns)
+            places = [set(x or ()) for x in part.column(gone_at).to_pylist()]
+            yield _result(part, _kept(texts, lambda i, lines: [k in places[i] for k in range(len(lines))]), names)
 
     mark = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     lines = documents(source).withColumn("mark", mark).mapInArrow(explode, "doc_id long, mark long, place int, h1 long, h2 long")
-    gone = lines.join(heavy, ["h1", "h2"]).groupBy(F.col("doc_id").alias("_doc_id"), F.col("mark").alias("_mark")).agg(F.collect_set("place").alias("_gone"))
-    joined = source.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & (mark == F.col("_mark")), "left").select(*(source[c] for c in source.columns), "_gone")
+    gone = lines.join(heavy, ["h1", "h2"]).groupBy(F.col("doc_id").alias(own_id), F.col("mark").alias(own_mark)).agg(F.collect_set("place").alias(gone_at))
+    joined = source.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (mark == F.col(own_mark)), "left").select(*(source[c] for c in source.columns), gone_at)
     return joined.mapInArrow(run, _schema(source, keep_columns))

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, partitions, released, scratch, ship, text_slices, written
+from .common import documents, dropped, partitions, released, scratch, ship, text_slices, written
 from .tokens import word_encoder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -124,6 +124,7 @@ def pack(docs: DataFrame, name: str = VOCABULARY, width: int = WIDTH) -> DataFra
 
     by = ["length", "doc_id", "piece", "ids_crc32"]
     runs = written(cut.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(ranked, PIECE + ", part int, own long"), f"{top}/runs")
+    dropped(spark, f"{top}/pieces")
     released(spark)
     # a partition holds neighbouring lengths: partitions + width rows at most
     held = runs.groupBy("part", "length").agg(F.max("own").alias("last")).collect()

@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, released, scratch, ship, written
+from .common import dropped, released, scratch, ship, unused, written
 from .hashing import mix, powers, prefix, spans
 
 WINDOW = 100
@@ -294,18 +294,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     more = written(_windows(rows, found.where("kind > 0"), n_buckets, window, gram), f"{top}/windows")
     released(spark)
     cuts = found.where("kind = 0").select("doc_id", "mark", "start", "stop").unionByName(more)
-    lists = cuts.groupBy(F.col("doc_id").alias("d_id"), F.col("mark").alias("d_mark")).agg(F.collect_list(F.struct("start", "stop")).alias("_cuts"))
     source = docs if keep_columns else rows
+    cut_at, d_id, d_mark = unused(source, "_cuts", "_d_id", "_d_mark")
+    lists = cuts.groupBy(F.col("doc_id").alias(d_id), F.col("mark").alias(d_mark)).agg(F.collect_list(F.struct("start", "stop")).alias(cut_at))
     own_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
     own_mark = F.hash(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    joined = source.join(lists, (own_id == F.col("d_id")) & (own_mark == F.col("d_mark")), "left").select(*(source[c] for c in source.columns), "_cuts")
+    joined = source.join(lists, (own_id == F.col(d_id)) & (own_mark == F.col(d_mark)), "left").select(*(source[c] for c in source.columns), cut_at)
 
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _slices(batches):
             n, removed, spans_, kept = [], [], [], []
-            for text, cuts in zip(texts, part.column("_cuts").to_pylist(), strict=True):
+            for text, cuts in zip(texts, part.column(cut_at).to_pylist(), strict=True):
                 own = merged([c["start"] for c in cuts], [c["stop"] for c in cuts]) if cuts else []
                 at, left = 0, []
                 for a, b in own:

@@ -110,4 +110,4 @@ def counts_of(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     folder = f"{scratch(spark)}/tokens"
     order = write(docs, folder)
-    return order.join(count(spark, folder), ["file", "ordinal"]).select("doc_id", "n_tokens")
+    return order.hint("merge").join(count(spark, folder).hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens")
