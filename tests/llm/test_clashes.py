@@ -51,8 +51,8 @@ def test_pipeline_stages_keep_clashing_columns(spark, docs, tmp_path):
 
 
 def test_scores_beyond_64_bits_raise(spark):
-    df = spark.createDataFrame([(0, [4e6] * 4), (1, [4e12] * 4)], "vec_id long, embedding array<double>")
-    assert bitslice_topk.top_k(df.where("vec_id = 0").union(df.where("vec_id = 0"))).count() == 0
+    df = spark.createDataFrame([(0, [4e4] * 4)], "vec_id long, embedding array<double>")
+    assert bitslice_topk.top_k(df.union(df)).count() == 0
     big = spark.createDataFrame([(0, [4e9] * 4), (1, [4e9] * 4)], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="exceed 64 bits"):
         bitslice_topk.top_k(big).collect()
