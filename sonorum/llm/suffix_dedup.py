@@ -6,9 +6,7 @@ input.  In suffix order, the suffixes that share their first WINDOW bytes with
 the suffix at a position are its neighbours, and the position has a longest
 previous factor of WINDOW or more exactly if one of them, its nearest smaller
 position before or behind it, starts earlier.  So all that must be known of
-suffix order is which windows are equal and who is first among equals; the tests
-here sort windows (or their fingerprints) with positions and take the class's
-smallest.
+suffix order is which windows are equal and who is first among equals.
 
 Not every window is moved.  In each window the GRAM-byte string of smallest hash
 is its anchor; equal windows have equal anchors at equal offsets.  Windows of one
@@ -19,8 +17,10 @@ position.  Of runs that agree in all their bytes, all but the first are repeated
 as a whole.  Each task drops its own repeats first, so that a passage which a
 third of all documents hold is one record a task.  What is left of one gram are
 runs that differ: passages' ends, and passages that begin or end differently.
-Step two takes the bytes of those runs only, sorts their windows in suffix order,
-and finds the first of each class exactly, by bytes.  Windows of a gram that very
+Step two takes the bytes of those runs only, sorts their windows in suffix order
+by their bytes and makes the array of longest previous factors from the previous
+and the next smaller positions: a window whose factor has WINDOW bytes is a later
+copy, the first one has none and stays.  Windows of a gram that very
 many runs share are dealt by their hash instead of their gram.  Step three joins
 the intervals with the documents and cuts.
 
@@ -46,10 +46,12 @@ from .hashing import mix, powers, prefix, spans
 WINDOW = 100
 GRAM = 32
 #: Runs that one task of step one compares at a time, on average.
-BUCKET_RUNS = 1_000_000
+BUCKET_RUNS = 400_000
+#: Runs that a task holds before it sends them, and windows that are put in suffix order at a time.
+HELD_RUNS, SORTED_WINDOWS = 150_000, 100_000
 #: Differing runs of one gram from which its windows are dealt by hash.
 HOT_RUNS = 2_000
-SLICE_BYTES = 1_500_000
+SLICE_BYTES = 750_000
 NULL_ID = -(2**63)
 #: Low bits of a window's key that hold a position; the others hold the gram's hash.
 PLACE_BITS = 24
@@ -119,14 +121,55 @@ def _earlier(position: tuple[np.ndarray, ...], classes: tuple[np.ndarray, ...])
     return order, new, behind
 
 
+def smaller_neighbours(place: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Of each suffix, in suffix order: what it has in common with the nearest one before it of smaller place (0 if there is none).
+
+    common: what each has in common with the one before it.  Every suffix looks
+    at the one before; while that is not smaller it jumps to where that one
+    points, and keeps the least that the way had in common.
+    """
+    at, held = np.arange(len(place)) - 1, common.copy()
+    while True:
+        jump = np.flatnonzero((at >= 0) & (place[np.maximum(at, 0)] >= place))
+        if not len(jump):
+            return np.where(at >= 0, held, 0)
+        over = at[jump]
+        at[jump], held[jump] = at[over], np.minimum(held[jump], held[over])
+
+
+def longest_previous(suffixes: np.ndarray, position: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Longest previous factors, up to the width of the suffixes (one a row): the longest beginning that a suffix of smaller position shares.
+
+    In suffix order it is shared with the previous or the next smaller position;
+    suffixes of equal position are the same one.
+    """
+    n, width = suffixes.shape
+    by_place = np.lexsort(tuple(reversed(position)))
+    new = np.zeros(n, bool)
+    for c in position:
+        own = c[by_place]
+        new[1:] |= own[1:] != own[:-1]
+    place = np.empty(n, np.int64)
+    place[by_place] = np.cumsum(new)
+    order = np.lexsort((place, suffixes.view(f"S{width}").ravel())) if not (suffixes == 0).any() else np.lexsort((place, np.unique(suffixes.view(f"V{width}").ravel(), return_inverse=True)[1]))
+    rows, place = suffixes[order], place[order]
+    common = np.zeros(n, np.int64)
+    unlike = rows[1:] != rows[:-1]
+    common[1:] = np.where(unlike.any(1), unlike.argmax(1), width)
+    behind = np.zeros(n, np.int64)
+    behind[:-1] = common[1:]
+    factors = np.maximum(smaller_neighbours(place, common), smaller_neighbours(place[::-1], behind[::-1])[::-1])
+    out = np.empty(n, np.int64)
+    out[order] = factors
+    return out
+
+
 def _pack(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 def _found(docs: DataFrame, n_buckets: int, window: int, gram: int, hot: int) -> DataFrame:
     """Step one: doc_id, mark, start, stop, kind: 0 bytes [start, stop) go; 1 windows of [start, stop) are open, 2 of a hot gram."""
-    RUN = 400_000
-
     def send(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         grams, whole, ids, marks, first, more = (np.concatenate(c) for c in zip(*held, strict=True))
         order, new, behind = _earlier((ids, marks, first), (grams, whole))
@@ -156,7 +199,7 @@ def _found(docs: DataFrame, n_buckets: int, window: int, gram: int, hot: int) ->
                 if len(grams):
                     held.append((grams, whole, np.full(len(grams), ids[i]), np.full(len(grams), marks[i]), first.astype(np.int32), (last - first).astype(np.uint8)))
                     count += len(grams)
-            if count >= RUN:
+            if count >= HELD_RUNS:
                 yield from send(held)
                 held, count = [], 0
         if count:
@@ -241,15 +284,12 @@ def _windows(docs: DataFrame, open_runs: DataFrame, n_buckets: int, window: int,
         if not len(again):
             return pa.table({"doc_id": ids[:0], "mark": marks[:0], "start": start[:0].astype(np.int32), "stop": start[:0].astype(np.int32)})
         gone = []
-        for part in range(max(1, len(again) // 200_000)):  # classes stay together: by fingerprint
-            parts = max(1, len(again) // 200_000)
+        parts = max(1, len(again) // SORTED_WINDOWS)
+        for part in range(parts):  # classes stay together: by fingerprint
             own = again[hashes[again] % U(parts) == part]
-            if not len(own):
-                continue
-            suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, window)[at[own]]).view(f"S{window}").ravel()
-            rank = np.unique(suffixes, return_inverse=True)[1]
-            placed, _, behind = _earlier((ids[own], marks[own], start[own]), (rank,))
-            gone.append(own[placed[behind]])
+            if len(own):
+                suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, window)[at[own]])
+                gone.append(own[longest_previous(suffixes, (ids[own], marks[own], start[own])) >= window])
         gone = np.concatenate(gone) if gone else np.zeros(0, np.int64)
         if not len(gone):
             return pa.table({"doc_id": ids[:0], "mark": marks[:0], "start": start[:0].astype(np.int32), "stop": start[:0].astype(np.int32)})

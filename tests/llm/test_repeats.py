@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from sonorum.llm import bitslice_topk, line_dedup, toxicity
+from sonorum.llm import bitslice_topk, line_dedup, suffix_dedup, toxicity
 
 
 def test_topk_of_repeated_query_ids(spark):
@@ -37,3 +37,14 @@ def test_density_does_not_depend_on_length(times):
     x = toxicity.Reader({"vile": 2.0, "nasty": 3.0})(" ".join((["vile"] * 5 + ["nasty"] + ["good"] * 194) * times))
     assert x[5] == pytest.approx((5 * 2.0 + 3.0) / 200)
     assert x[6] == 3.0 and x[7] == (7.0 if times == 1 else 9.0)
+
+
+def test_longest_previous_factors():
+    rng = np.random.default_rng(0)
+    for t in range(60):
+        n = int(rng.integers(1, 40))
+        suffixes = rng.integers(0, 2 + t % 2, (n, 6)).astype(np.uint8) + t % 3
+        position = rng.integers(0, 10, n), rng.integers(0, 3, n)
+        places = list(zip(*(x.tolist() for x in position), strict=True))
+        wanted = [max((int(np.argmin(np.append(a == b, False))) for b, q in zip(suffixes, places, strict=True) if q < p), default=0) for a, p in zip(suffixes, places, strict=True)]
+        assert suffix_dedup.longest_previous(np.ascontiguousarray(suffixes), position).tolist() == wanted
