@@ -45,11 +45,15 @@ def exact_repeats(df: DataFrame, key: str, waveform: str, group: list[str]) -> D
 
 
 def nearest_voice(pitches: DataFrame, voices: DataFrame) -> DataFrame:
-    """note, voice, speed: of at most 128 pitches each the nearest of at most 128 voices, the lower one among equals [J7]."""
-    order = Window.partitionBy("note").orderBy(F.abs(F.col("note") - F.col("voice")), "voice")
-    joined = pitches.join(F.broadcast(voices.limit(128)), F.lit(True))
-    nearest = joined.withColumn("_r", F.row_number().over(order)).where("_r = 1")
-    return nearest.select("note", "voice", F.round(F.pow(F.lit(2.0), (F.col("note") - F.col("voice")) / 12), 9).alias("speed"))
+    """note, voice, speed: each pitch with the nearest voice, the lower one among equals [J7].
+
+    Pitches and voices are counted once each; the voices become one sorted array
+    (of distinct pitches), and a pitch looks among them.
+    """
+    known = voices.where("voice is not null").agg(F.array_sort(F.collect_set("voice")).alias("_voices")).where(F.size("_voices") > 0)
+    nearest = F.reduce("_voices", F.get("_voices", F.lit(0)), lambda best, v: F.when(F.abs(v - F.col("note")) < F.abs(best - F.col("note")), v).otherwise(best))
+    found = pitches.select("note").where("note is not null").distinct().join(known, F.lit(True)).select("note", nearest.alias("voice"))
+    return found.select("note", "voice", F.round(F.pow(F.lit(2.0), (F.col("note") - F.col("voice")) / 12), 9).alias("speed"))
 
 
 def by_measure(notes: DataFrame, bar: int) -> DataFrame:

@@ -27,11 +27,20 @@ def residual(original: DataFrame, render: DataFrame) -> DataFrame:
     return joined.select("channel", "frame", "code", own.alias("rendered"), (F.col("code") - own).alias("residual"))
 
 
-def report(parts: DataFrame) -> DataFrame:
-    """Of each channel: frames, peaks, energies and the deviation of rendered + residual from the original (always 0)."""
-    return parts.groupBy("channel").agg(
+def joined(original: DataFrame, render: DataFrame, rest: DataFrame) -> DataFrame:
+    """channel, frame, code, rendered, residual: a recording beside a render and a residual that are tables of their own; a missing frame counts 0."""
+    own = F.round(F.coalesce("num", F.lit(0)).cast("double") / 65536.0).cast("long")
+    both = original.join(render, ["channel", "frame"], "left").join(rest, ["channel", "frame"], "left")
+    return both.select("channel", "frame", "code", own.alias("rendered"), F.coalesce("residual", F.lit(0)).cast("long").alias("residual"))
+
+
+def report(original: DataFrame, render: DataFrame, rest: DataFrame) -> DataFrame:
+    """Of each channel: frames, peaks, energies, the residual's share of all energy, and how far rendered + residual is off the original."""
+    made, left = F.sum(F.col("rendered") * F.col("rendered")), F.sum(F.col("residual") * F.col("residual"))
+    share = F.when(made + left == 0, 0.0).otherwise(F.round(left.cast("double") / (made + left).cast("double"), 9))
+    return joined(original, render, rest).groupBy("channel").agg(
         F.count(F.lit(1)).alias("frames"), F.max(F.abs("code")).alias("peak"), F.max(F.abs("residual")).alias("residual_peak"),
-        F.sum(F.col("rendered") * F.col("rendered")).alias("rendered_energy"), F.sum(F.col("residual") * F.col("residual")).alias("residual_energy"),
+        made.alias("rendered_energy"), left.alias("residual_energy"), share.alias("residual_share"),
         F.max(F.abs(F.col("code") - F.col("rendered") - F.col("residual"))).alias("deviation"),
     )
 

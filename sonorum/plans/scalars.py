@@ -91,13 +91,14 @@ def velocities(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", S.velocity_of("l_discount").alias("velocity"), F.round(S.amplitude_of(v), 9).alias("amplitude"), S.lmms_volume(v).alias("volume"), F.round(S.dynamics_of(v), 6).alias("dynamics"))
 
 
-@query("""WITH a AS (SELECT vec_id, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) AS a FROM embeddings)
-SELECT vec_id, round(a[1] * 0.25 + a[2] * 0.5 + a[10] * 0.25, 9) AS faded, round(a[7] * 0.75 + a[8] * 0.5 + a[9] * 0.25 + a[10] * 0, 9) AS tail FROM a""")
+@query("""WITH t AS (SELECT vec_id, embedding, len(embedding) AS n, unnest(range(0, len(embedding))) AS i FROM embeddings),
+x AS (SELECT vec_id, i, n, least(i, n - 1 - i) AS edge, CAST(embedding[i + 1] AS DOUBLE) AS x FROM t)
+SELECT vec_id, i, round(CASE WHEN edge < 3 THEN x * ((edge + 1) / 4.0::DOUBLE) ELSE x END, 9) AS faded, round(CASE WHEN i >= n - 4 THEN x * ((n - 1 - i) / 4.0::DOUBLE) ELSE x END, 9) AS tail FROM x""")
 def fades(spark, sf):
-    """[P16 P17] Whole vectors with both fades, and with the tail's."""
+    """[P16 P17] Every value of every vector with both fades, and with the tail's."""
     a = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
-    whole = lambda v: F.transform(v, lambda x: F.round(x, 9))
-    return a.select("vec_id", whole(S.apply_fades("a", 3)).alias("faded"), whole(S.fade_out("a", 4)).alias("tail"))
+    tall = a.select("vec_id", F.posexplode(F.arrays_zip(S.apply_fades("a", 3).alias("faded"), S.fade_out("a", 4).alias("tail"))).alias("i", "x"))
+    return tall.select("vec_id", F.col("i").cast("long").alias("i"), F.round("x.faded", 9).alias("faded"), F.round("x.tail", 9).alias("tail"))
 
 
 @query("""WITH n AS (SELECT DISTINCT CAST(p_size AS BIGINT) AS n FROM part), w AS (SELECT n, unnest(range(0, n)) AS i FROM n)
@@ -110,11 +111,13 @@ def window_shapes(spark, sf):
     return tall.select("n", F.col("i").cast("long").alias("i"), *(F.round(F.col(f"x.{k}"), 9).alias(k) for k in own))
 
 
-@query("SELECT vec_id, round(sqrt(re * re + im * im), 9) AS magnitude, round(re * re + im * im, 9) AS power, round(atan2(im, re), 9) AS phase FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS re, CAST(embedding[2] AS DOUBLE) AS im FROM embeddings)")
+@query("SELECT vec_id, k, round(sqrt(re * re + im * im), 9) AS magnitude, round(re * re + im * im, 9) AS power, round(atan2(im, re), 9) AS phase FROM (SELECT vec_id, k, CAST(embedding[2 * k + 1] AS DOUBLE) AS re, CAST(embedding[2 * k + 2] AS DOUBLE) AS im FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding) // 2)) AS k FROM embeddings))")
 def complex_parts(spark, sf):
     """[P20]"""
-    t = table(spark, sf, "embeddings").select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("re"), F.get("embedding", F.lit(1)).cast("double").alias("im"))
-    return t.select("vec_id", F.round(S.magnitude("re", "im"), 9).alias("magnitude"), F.round(S.power("re", "im"), 9).alias("power"), F.round(S.phase("re", "im"), 9).alias("phase"))
+    x = lambda k: F.get("embedding", k.cast("int")).cast("double")
+    tall = table(spark, sf, "embeddings").where("size(embedding) > 1").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.size("embedding") / 2) - 1)).alias("k"))
+    t = tall.select("vec_id", "k", x(F.col("k") * 2).alias("re"), x(F.col("k") * 2 + 1).alias("im"))
+    return t.select("vec_id", "k", F.round(S.magnitude("re", "im"), 9).alias("magnitude"), F.round(S.power("re", "im"), 9).alias("power"), F.round(S.phase("re", "im"), 9).alias("phase"))
 
 
 @query("""WITH m AS (SELECT vec_id, list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))) AS m, 40 + vec_id % 30 AS note FROM embeddings),
@@ -126,13 +129,14 @@ def note_salience(spark, sf):
     return m.select("vec_id", F.round(S.salience("m", "note", 8000, 128), 6).alias("salience"))
 
 
-@query("""WITH t AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings),
+@query("""WITH t AS (SELECT vec_id, k, CAST(embedding[k] AS DOUBLE) AS a, CAST(embedding[k + 1] AS DOUBLE) AS b, CAST(embedding[k + 2] AS DOUBLE) AS c FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) - 1)) AS k FROM embeddings)),
 s AS (SELECT *, CASE WHEN abs(a - 2 * b + c) > 2.220446049250313e-16 THEN 0.5 * (a - c) / (a - 2 * b + c) END AS s FROM t)
-SELECT vec_id, CASE WHEN s IS NULL OR abs(s) > 1 THEN 0.0 ELSE round(s, 6) END AS shift, round(exp(-0.5 * pow(log2((60 + vec_id % 140) / 120.0) / 0.9, 2)), 9) AS prior FROM s""")
+SELECT vec_id, k, CASE WHEN s IS NULL OR abs(s) > 1 THEN 0.0 ELSE round(s, 6) END AS shift, round(exp(-0.5 * pow(log2((60 + vec_id % 140) / 120.0) / 0.9, 2)), 9) AS prior FROM s""")
 def vertices_and_priors(spark, sf):
     """[P24 P25]"""
-    x = lambda k: F.get("embedding", F.lit(k)).cast("double")
-    return table(spark, sf, "embeddings").select("vec_id", F.round(S.parabolic_vertex(x(0), x(1), x(2)), 6).alias("shift"), F.round(S.tempo_prior(60 + F.col("vec_id") % 140), 9).alias("prior"))
+    x = lambda k: F.get("embedding", (F.col("k") + (k - 1)).cast("int")).cast("double")
+    tall = table(spark, sf, "embeddings").where("size(embedding) > 2").select("vec_id", "embedding", F.explode(F.sequence(F.lit(1).cast("long"), F.size("embedding").cast("long") - 2)).alias("k"))
+    return tall.select("vec_id", "k", F.round(S.parabolic_vertex(x(0), x(1), x(2)), 6).alias("shift"), F.round(S.tempo_prior(60 + F.col("vec_id") % 140), 9).alias("prior"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CAST((CAST(round(l_extendedprice) AS BIGINT) * 500000::HUGEINT * 44100) // (22050::HUGEINT * 1000000) AS BIGINT) AS frames,
@@ -203,10 +207,10 @@ def note_values(spark, sf):
     return s.select("length", F.array_join(S.split_duration("length").cast("array<string>"), "+").alias("parts"))
 
 
-@query("SELECT vec_id, len(embedding[61:68]) + 4 AS n, round(list_sum(list_transform(embedding[61:68], lambda x: CAST(x AS DOUBLE))), 9) AS total FROM embeddings")
+@query("SELECT vec_id, len(embedding) + 10 - 3 AS n, round(list_sum(list_transform(embedding[4:], lambda x: CAST(x AS DOUBLE))), 9) AS total FROM embeddings")
 def padded_segments(spark, sf):
-    """[P43 P44] Eight samples from place 60 of 64, filled up with silence."""
-    a = table(spark, sf, "embeddings").select("vec_id", S.segment(F.col("embedding").cast("array<double>"), F.lit(60), F.lit(8)).alias("a"))
+    """[P43 P44] All samples from place 3 on, filled up with ten of silence."""
+    a = table(spark, sf, "embeddings").select("vec_id", S.segment(F.col("embedding").cast("array<double>"), F.lit(3), F.size("embedding") + 7).alias("a"))
     return a.select("vec_id", F.size("a").cast("long").alias("n"), F.round(F.aggregate("a", F.lit(0.0), lambda acc, x: acc + x), 9).alias("total"))
 
 

@@ -177,7 +177,7 @@ def midi_absolute(spark, sf):
     return d.withColumn("decoded", W.delta_decode("delta", ["channel"], ["tick", "kind", "note"])).drop("delta")
 
 
-@query("""WITH p AS (SELECT DISTINCT p_size % 5 AS instrument, CAST(21 + p_partkey % 88 AS INTEGER) AS note FROM part WHERE p_partkey % 3 = 0),
+@query("""WITH p AS (SELECT DISTINCT p_size % 5 AS instrument, CAST(21 + p_partkey % 88 AS INTEGER) AS note FROM part),
 n AS (SELECT *, lag(note) OVER w AS before, lead(note) OVER w AS after FROM p WINDOW w AS (PARTITION BY instrument ORDER BY note))
 SELECT instrument, note, CAST(coalesce(before + ceil((note - before) / 2), 0) AS INTEGER) AS low, CAST(coalesce(note + ceil((after - note) / 2) - 1, 127) AS INTEGER) AS high FROM n""")
 def key_zones(spark, sf):

@@ -32,7 +32,7 @@ def _parts(spark, sf):
 PARTS = f"""parts AS (
   SELECT s.channel, s.frame, s.code, CAST(round(coalesce(num, 0)::DOUBLE / 65536.0) AS BIGINT) AS rendered,
          s.code - CAST(round(coalesce(num, 0)::DOUBLE / 65536.0) AS BIGINT) AS residual
-  FROM (SELECT CAST(channel AS INTEGER) AS channel, frame, code FROM signal WHERE channel < 2) s LEFT JOIN render USING (channel, frame))"""
+  FROM signal s LEFT JOIN render r ON s.channel = r.channel AND s.frame = r.frame)"""
 
 
 @query(f"WITH {SIGNAL}, {WAVEFORMS}, {PLACEMENTS}, {RENDER}, {PARTS} SELECT * FROM parts")
@@ -41,13 +41,53 @@ def residual_of_render(spark, sf):
     return _parts(spark, sf)
 
 
-@query(f"""WITH {SIGNAL}, {WAVEFORMS}, {PLACEMENTS}, {RENDER}, {PARTS}
-SELECT channel, count(*) AS frames, max(abs(code)) AS peak, max(abs(residual)) AS residual_peak,
-       CAST(sum(rendered * rendered) AS BIGINT) AS rendered_energy, CAST(sum(residual * residual) AS BIGINT) AS residual_energy,
-       max(abs(code - rendered - residual)) AS deviation FROM parts GROUP BY channel""")
+def REPORT(residual):
+    return f"""SELECT channel, count(*) AS frames, max(abs(code)) AS peak, max(abs({residual})) AS residual_peak,
+       CAST(sum(rendered * rendered) AS BIGINT) AS rendered_energy, CAST(sum({residual} * {residual}) AS BIGINT) AS residual_energy,
+       CASE WHEN sum(rendered * rendered) + sum({residual} * {residual}) = 0 THEN 0.0
+            ELSE round(CAST(sum({residual} * {residual}) AS DOUBLE) / CAST(sum(rendered * rendered) + sum({residual} * {residual}) AS DOUBLE), 9) END AS residual_share,
+       max(abs(code - rendered - {residual})) AS deviation FROM parts GROUP BY channel"""
+
+
+@query(f"WITH {SIGNAL}, {WAVEFORMS}, {PLACEMENTS}, {RENDER}, {PARTS} {REPORT('residual')}")
 def render_and_verify(spark, sf):
-    """[A7 A8 A11 D22]"""
-    return V.report(_parts(spark, sf))
+    """[A7 A8 A11 D22] The report of every channel: its residual table is read beside a render of its own."""
+    own = signal(spark, sf).select("channel", "frame", "code")
+    render = V.rendered(placements(spark, sf), waveforms(spark, sf), TIMELINE)
+    return V.report(own, render, V.residual(own, render).select("channel", "frame", "residual"))
+
+
+#: What a damaged residual holds: frames whose number leaves 7 over 50 are off by their number, as are two of channel 1.
+DAMAGE = "CASE WHEN frame % 50 = 7 THEN residual + frame WHEN channel = 1 AND frame < 2 THEN -residual ELSE residual END"
+
+
+@query(f"WITH {SIGNAL}, {WAVEFORMS}, {PLACEMENTS}, {RENDER}, {PARTS} {REPORT('(' + DAMAGE + ')')}")
+def verify_damaged(spark, sf):
+    """[A8 A11 D22 S15] The report finds how far a damaged residual is off."""
+    own = signal(spark, sf).select("channel", "frame", "code")
+    render = V.rendered(placements(spark, sf), waveforms(spark, sf), TIMELINE)
+    return V.report(own, render, V.residual(own, render).select("channel", "frame", F.expr(DAMAGE).alias("residual")))
+
+
+@query(f"""WITH {SIGNAL}, {WAVEFORMS}, {PLACEMENTS}, {RENDER}, {PARTS},
+p AS (SELECT count(*) AS frames, count(DISTINCT channel) AS channels, max(abs(residual)) AS residual_peak, max(abs(code - rendered - residual)) AS deviation,
+        round(CAST(sum(residual * residual) AS DOUBLE) / CAST(sum(residual * residual) + sum(rendered * rendered) AS DOUBLE), 9) AS residual_share FROM parts),
+b AS (SELECT count(*) AS samples, CAST(sum(length) AS BIGINT) AS stored FROM bank),
+c AS (SELECT count(*) AS placements, CAST(sum(length) AS BIGINT) AS covered FROM placement JOIN bank USING (sample_id)), {NOTES}, n AS (SELECT count(*) AS notes FROM note)
+SELECT frames, channels, residual_peak, deviation, residual_share, samples, stored, placements, covered, covered / stored AS reuse, notes FROM p, b, c, n""")
+def whole_report(spark, sf):
+    """[A5 A6 A7 A8 A11 A19] One row: all metrics of the verification, over all channels."""
+    own = signal(spark, sf).select("channel", "frame", "code")
+    bank, placed = waveforms(spark, sf), placements(spark, sf)
+    render = V.rendered(placed, bank, TIMELINE)
+    parts = V.joined(own, render, V.residual(own, render).select("channel", "frame", "residual"))
+    rest, made = F.sum(F.col("residual") * F.col("residual")).cast("double"), F.sum(F.col("rendered") * F.col("rendered")).cast("double")
+    p = parts.agg(F.count(F.lit(1)).alias("frames"), F.count_distinct("channel").alias("channels"), F.max(F.abs("residual")).alias("residual_peak"), F.max(F.abs(F.col("code") - F.col("rendered") - F.col("residual"))).alias("deviation"), F.round(rest / (rest + made), 9).alias("residual_share"))
+    b = bank.agg(F.count(F.lit(1)).alias("samples"), F.sum(F.col("length").cast("long")).alias("stored"))
+    c = placed.join(bank.drop("codes"), "sample_id").agg(F.count(F.lit(1)).alias("placements"), F.sum(F.col("length").cast("long")).alias("covered"))
+    n = notes(spark, sf).agg(F.count(F.lit(1)).alias("notes"))
+    one = p.join(b, F.lit(True)).join(c, F.lit(True)).join(n, F.lit(True))  # one row each
+    return one.select("frames", "channels", "residual_peak", "deviation", "residual_share", "samples", "stored", "placements", "covered", (F.col("covered") / F.col("stored")).alias("reuse"), "notes")
 
 
 @query(f"""WITH {WAVEFORMS}, {PLACEMENTS}
@@ -134,7 +174,7 @@ def clips(spark, sf):
     return joined.select("l_orderkey", "l_linenumber", F.col("c.start").alias("clip_start"), F.col("c.offset").alias("clip_offset"), F.col("c.length").alias("clip_length"))
 
 
-@query("""WITH e AS (SELECT l_orderkey, l_linenumber, l_partkey % 50 AS k, l_quantity AS len FROM lineitem WHERE l_partkey % 7 = 0),
+@query("""WITH e AS (SELECT l_orderkey, l_linenumber, l_partkey % 50 AS k, l_quantity AS len FROM lineitem),
 b AS (SELECT p_partkey AS sample_id, p_partkey % 50 AS k, p_size AS size FROM part),
 r AS (SELECT e.l_orderkey, e.l_linenumber, b.sample_id, row_number() OVER (PARTITION BY e.l_orderkey, e.l_linenumber, e.k, e.len ORDER BY abs(log2(size / len)), sample_id DESC) AS place
   FROM e JOIN b USING (k) WHERE abs(log2(size / len)) <= 1)
@@ -153,16 +193,13 @@ def exact_repeats(spark, sf):
     return R.exact_repeats(table(spark, sf, "embeddings"), "vec_id", "embedding", ["label"])
 
 
-@query(f"""WITH {NOTES}, p AS (SELECT DISTINCT note AS voice FROM note WHERE channel = 0 AND note % 5 = 0), n AS (SELECT DISTINCT note FROM note),
+@query(f"""WITH {NOTES}, p AS (SELECT DISTINCT 24 + n_nationkey * 17 % 90 AS voice FROM nation), n AS (SELECT DISTINCT note FROM note),
 r AS (SELECT note, voice, row_number() OVER (PARTITION BY note ORDER BY abs(note - voice), voice) AS place FROM n, p)
 SELECT note, voice, round(pow(2, (note - voice) / 12), 9) AS speed FROM r WHERE place = 1""")
 def nearest_voice(spark, sf):
-    """[J7] The bank voice of nearest pitch, the first one among equals, and the speed that carries it there.
-
-    Distinct pitches are at most 128, so the broadcast side is bounded.
-    """
-    n = notes(spark, sf)
-    return R.nearest_voice(n.select("note").distinct(), n.where("channel = 0 and note % 5 = 0").select(F.col("note").alias("voice")).distinct())
+    """[J7] The bank voice of nearest pitch, the first one among equals, and the speed that carries it there."""
+    voices = table(spark, sf, "nation").select((24 + F.col("n_nationkey") * 17 % 90).cast("int").alias("voice"))
+    return R.nearest_voice(notes(spark, sf).select("note"), voices)
 
 
 @query(f"""WITH {NOTES} SELECT channel, measure, count(*) AS events, CAST(sum(least(start + length, (measure + 1) * 64) - greatest(start, measure * 64)) AS BIGINT) AS covered
@@ -209,15 +246,15 @@ def tied_notes(spark, sf):
     return R.tie(notes(spark, sf))
 
 
-@query(f"WITH {NOTES}, {SIGNAL} SELECT n.channel, n.note, s.n_signal FROM (SELECT DISTINCT channel, note FROM note) n FULL JOIN (SELECT channel, code % 128 AS note, count(*) AS n_signal FROM signal WHERE channel < 4 GROUP BY ALL) s ON n.channel = s.channel AND n.note = s.note WHERE n.channel IS NOT NULL")
+@query(f"WITH {NOTES}, {SIGNAL} SELECT coalesce(n.channel, s.channel) AS channel, coalesce(n.note, s.note) AS note, n.note IS NOT NULL AS active, s.n_signal FROM (SELECT DISTINCT channel, note FROM note) n FULL JOIN (SELECT channel, code % 128 AS note, count(*) AS n_signal FROM signal GROUP BY ALL) s ON n.channel = s.channel AND n.note = s.note")
 def notes_and_frames(spark, sf):
     """[J9] Active notes against frame pitches: an outer join on (channel, note)."""
-    n = notes(spark, sf).select("channel", "note").distinct()
-    s = signal(spark, sf).where("channel < 4").groupBy(F.col("channel").cast("int").alias("c"), (F.col("code") % 128).cast("int").alias("p")).agg(F.count(F.lit(1)).alias("n_signal"))
-    return n.join(s, (F.col("channel") == F.col("c")) & (F.col("note") == F.col("p")), "full").where("channel is not null").select("channel", "note", "n_signal")
+    n = notes(spark, sf).select(F.col("channel").cast("long").alias("channel"), F.col("note").cast("long").alias("note")).distinct().withColumn("active", F.lit(True))
+    s = signal(spark, sf).groupBy("channel", (F.col("code") % 128).alias("note")).agg(F.count(F.lit(1)).alias("n_signal"))
+    return n.join(s, ["channel", "note"], "full").select("channel", "note", F.coalesce("active", F.lit(False)).alias("active"), "n_signal")
 
 
-@query(f"""WITH {NOTES}, u AS (SELECT DISTINCT start FROM note WHERE channel = 1 UNION SELECT DISTINCT start FROM placement WHERE start >= 0), {PLACEMENTS}
+@query(f"""WITH {NOTES}, u AS (SELECT DISTINCT start FROM note UNION SELECT DISTINCT start FROM placement WHERE start >= 0), {PLACEMENTS}
 SELECT start, row_number() OVER (ORDER BY start) AS place FROM u""".replace(f"WITH {NOTES}, u AS", f"WITH {NOTES}, {PLACEMENTS}, u AS").replace(f"), {PLACEMENTS}\nSELECT start", ")\nSELECT start"))
 def distinct_times(spark, sf):
     """[U2 U4] Onset times of placements and notes, once each, numbered without gathering them in one task."""
@@ -243,7 +280,7 @@ def files_first_seen(spark, sf):
     return table(spark, sf, "events").groupBy(F.col("event_type").alias("file")).agg(F.min("event_id").alias("first_seen"), F.count(F.lit(1)).alias("uses"))
 
 
-@query(f"WITH {NOTES} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY start, note, length, velocity) AS place FROM note) WHERE place <= 20")
+@query(f"WITH {NOTES} SELECT *, row_number() OVER (PARTITION BY channel ORDER BY start, note, length, velocity) AS place FROM note")
 def first_notes(spark, sf):
     """[O1 O2 O3 O9] The place of every note in its channel in (start, note) order."""
     return R.dense_number(notes(spark, sf), ["start", "note", "length", "velocity"], "place", by=("channel",))
@@ -255,7 +292,7 @@ def first_per_note(spark, sf):
     return table(spark, sf, "part").groupBy((21 + F.col("p_partkey") % 88).alias("note")).agg(F.min("p_partkey").alias("p_partkey"))
 
 
-@query("SELECT l_partkey AS sample_id, count(*) AS placements, min(l_orderkey) AS first_order FROM lineitem WHERE l_partkey < 20 GROUP BY l_partkey")
+@query("SELECT l_partkey AS sample_id, count(*) AS placements, min(l_orderkey) AS first_order FROM lineitem GROUP BY l_partkey")
 def placements_of(spark, sf):
     """[F9]"""
     return table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("sample_id")).agg(F.count(F.lit(1)).alias("placements"), F.min("l_orderkey").alias("first_order"))
@@ -268,8 +305,10 @@ def rollup_by_region(spark, sf):
     return joined.rollup("r_name", "n_name").agg(F.count(F.lit(1)).alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
 
-@query(f"""WITH m AS (SELECT label, count(*) FILTER (abs(CAST(round(embedding[1] * 32768) AS BIGINT)) <= 3276) AS le_10, count(*) FILTER (abs(CAST(round(embedding[1] * 32768) AS BIGINT)) <= 6553) AS le_20, median(abs(CAST(round(embedding[1] * 32768) AS BIGINT))) AS median, min(abs(CAST(round(embedding[1] * 32768) AS BIGINT))) AS best FROM embeddings GROUP BY label) SELECT * FROM m""")
+@query("""WITH v AS (SELECT label, abs(CAST(round(CAST(x AS DOUBLE) * 32768) AS BIGINT)) AS v FROM (SELECT label, unnest(embedding) AS x FROM embeddings))
+SELECT label, count(*) FILTER (v <= 3276) AS le_10, count(*) FILTER (v <= 6553) AS le_20, median(v) AS median, min(v) AS best, max(least(v % 160, 160 - v % 160)) AS worst_off_grid FROM v GROUP BY label""")
 def remainder_distribution(spark, sf):
-    """[A23 A24] Counts under cut points, best and median."""
-    v = F.abs(F.round(F.get("embedding", F.lit(0)).cast("double") * 32768).cast("long"))
-    return table(spark, sf, "embeddings").groupBy("label").agg(F.count_if(v <= 3276).alias("le_10"), F.count_if(v <= 6553).alias("le_20"), F.median(v).alias("median"), F.min(v).alias("best"))
+    """[A23 A24] Counts under cut points, best, median, and the worst distance from a grid of 160."""
+    tall = table(spark, sf, "embeddings").select("label", F.explode("embedding").alias("x")).select("label", F.abs(F.round(F.col("x").cast("double") * 32768).cast("long")).alias("v"))
+    v = F.col("v")
+    return tall.groupBy("label").agg(F.count_if(v <= 3276).alias("le_10"), F.count_if(v <= 6553).alias("le_20"), F.median(v).alias("median"), F.min(v).alias("best"), F.max(F.least(v % 160, 160 - v % 160)).alias("worst_off_grid"))
