@@ -24,15 +24,38 @@ REGION_ROW = _struct(sample=T.StringType(), low=T.IntegerType(), high=T.IntegerT
 
 def fingerprint_of(x) -> int:
     """[P12] Multiply-and-xor over the length and the bits of every value; equal for 0.0 and -0.0."""
-    value, mask = 0xCBF29CE484222325, (1 << 64) - 1
-    for word in (len(x), *(np.asarray(x, np.float64) + 0.0).view(np.uint64).tolist()):
-        value = (value ^ word) * 0x100000001B3 & mask
-    return value - (1 << 64) if value >> 63 else value
+    return int(fingerprints_of([x])[0])
+
+
+def fingerprints_of(waveforms: list) -> np.ndarray:
+    """[P12] Of many waveforms: one step for each place, over all waveforms that reach it."""
+    arrays = [np.asarray(x, np.float64) + 0.0 for x in waveforms]
+    sizes = np.array([len(x) for x in arrays], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    value, prime = np.full(len(arrays), 0xCBF29CE484222325, np.uint64), np.uint64(0x100000001B3)
+    value = (value ^ sizes[order].astype(np.uint64)) * prime
+    longest = int(sizes.max(initial=0))
+    words = np.zeros((longest, len(arrays)), np.uint64)
+    for k, i in enumerate(order):
+        words[: sizes[i], k] = arrays[i].view(np.uint64)
+    reach = np.searchsorted(-sizes[order], -np.arange(1, longest + 1), "right")
+    for place in range(longest):
+        n = reach[place]
+        value[:n] = (value[:n] ^ words[place, :n]) * prime
+    out = np.empty(len(arrays), np.int64)
+    out[order] = value.view(np.int64)
+    return out
 
 
 @F.pandas_udf(T.LongType())
 def waveform_fingerprint(column: pd.Series) -> pd.Series:
-    return column.map(lambda x: None if x is None else fingerprint_of(x))
+    known = column.notna().to_numpy()
+    out = pd.Series([None] * len(column), dtype="Int64")
+    at = np.flatnonzero(known)
+    for start in range(0, len(at), 512):  # so many at once
+        some = at[start : start + 512]
+        out.iloc[some] = fingerprints_of([column.iloc[i] for i in some])
+    return out
 
 
 @F.pandas_udf(DOUBLES)

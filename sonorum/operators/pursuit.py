@@ -479,16 +479,13 @@ def reconstruct(parts: DataFrame, sources: DataFrame) -> DataFrame:
     """recording_id, channel, samples: renders summed per frame in placement order, quantised, plus residual and correction.
 
     sources: recording_id, format, channel, frames.  Frames are summed where
-    their placements fall; an array is put together per channel at the end.
+    their placements fall, in tall form beside the residual's and the
+    correction's; an array is put together per channel at the end.
     """
     placed = part(parts, "placement").join(part(parts, "bank").select("recording_id", "sample_id", "waveform"), ["recording_id", "sample_id"]).where("gain_num <> 0")
     tall = placed.select("recording_id", "channel", "ord", "start", "gain_num", F.posexplode("waveform").alias("pos", "v")).withColumn("frame", F.col("start") + F.col("pos"))
     values = tall.groupBy("recording_id", "channel", "frame").agg(F.array_sort(F.collect_list(F.struct("ord", (F.col("gain_num") / float(GAIN_ONE) * F.col("v")).alias("v")))).alias("vs"))
-    summed = values.select("recording_id", "channel", F.struct("frame", F.aggregate("vs", F.lit(0.0), lambda acc, x: acc + x["v"]).alias("v")).alias("fv"))
-    render = summed.groupBy("recording_id", "channel").agg(F.map_from_entries(F.collect_list("fv")).alias("render"))
-    rest = part(parts, "residual").select("recording_id", "channel", F.col("samples").alias("residual"))
-    more = part(parts, "correction").select("recording_id", "channel", F.col("samples").alias("correction"))
-    joined = sources.join(render, ["recording_id", "channel"], "left").join(rest, ["recording_id", "channel"], "left").join(more, ["recording_id", "channel"], "left")
+    render = values.select("recording_id", "channel", "frame", F.aggregate("vs", F.lit(0.0), lambda acc, x: acc + x["v"]).alias("render"))
     grid = {k: (v[2], float(v[3]), float(v[4])) for k, v in FORMATS.items() if not v[1]}
 
     def on_grid(x):
@@ -497,7 +494,14 @@ def reconstruct(parts: DataFrame, sources: DataFrame) -> DataFrame:
             out = F.when(F.col("format") == k, F.least(F.greatest(F.round(x / q), F.lit(low)), F.lit(high)) * q).otherwise(out)
         return out
 
-    at = lambda c, i: F.coalesce(F.get(c, i.cast("int")), F.lit(0.0))
-    frames = F.sequence(F.lit(0).cast("long"), F.col("frames") - 1)
-    samples = F.transform(frames, lambda i: on_grid(F.coalesce(F.try_element_at("render", i), F.lit(0.0))) + at("residual", i) + at("correction", i))
-    return joined.select("recording_id", "channel", F.when(F.col("frames") > 0, samples).otherwise(F.array().cast("array<double>")).alias("samples"))
+    at = sources.select("recording_id", "channel", "format", "frames")
+    frames = at.where("frames > 0").select("recording_id", "channel", "format", F.explode(F.sequence(F.lit(0).cast("long"), F.col("frames") - 1)).alias("frame"))
+    both = frames.join(render, ["recording_id", "channel", "frame"], "left")
+    for name in ("residual", "correction"):
+        own = part(parts, name).select("recording_id", "channel", F.posexplode("samples").alias("frame", name)).withColumn("frame", F.col("frame").cast("long"))
+        both = both.join(own, ["recording_id", "channel", "frame"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    value = on_grid(zero("render")) + zero("residual") + zero("correction")
+    whole = both.groupBy("recording_id", "channel").agg(F.array_sort(F.collect_list(F.struct("frame", value.alias("v")))).alias("x"))
+    joined = at.join(whole, ["recording_id", "channel"], "left")
+    return joined.select("recording_id", "channel", F.coalesce(F.transform("x", lambda s: s["v"]), F.array().cast("array<double>")).alias("samples"))

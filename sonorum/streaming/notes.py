@@ -28,16 +28,26 @@ STATE = "start long, last long, n long"
 ISLAND = "channel int, note int, start_frame long, frames long"
 
 
-def note_islands(frames: DataFrame, gap: int = 1) -> DataFrame:
-    """[W10] Runs of consecutive frames by (channel, note) of a stream (channel, note, frame); a run is given out when a later frame closes it.
+def note_islands(frames: DataFrame, gap: int = 1, silence: str = "1 second") -> DataFrame:
+    """[W10] Runs of consecutive frames by (channel, note) of a stream (channel, note, frame).
 
+    A run is given out when a later frame closes it, or when its key has had no
+    frame for `silence` of processing time, which gives out the last one too.
     Frames of a key must come in order within a batch and across batches.
     """
+    import re
+
+    number, unit = re.fullmatch(r"(\d+) (second|minute|hour)s?", silence).groups()
+    patience = int(number) * {"second": 1_000, "minute": 60_000, "hour": 3_600_000}[unit]
 
     def track(key, batches, state):
         channel, note = key
         start, last, n = state.get if state.exists else (None, None, 0)
         closed = []
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(channel, note, start, n)] if n else [], columns=["channel", "note", "start_frame", "frames"])
+            return
         for pdf in batches:
             for frame in sorted(pdf["frame"].tolist()):
                 if last is not None and frame <= last:
@@ -47,6 +57,7 @@ def note_islands(frames: DataFrame, gap: int = 1) -> DataFrame:
                     start, n = None, 0
                 start, last, n = (frame if start is None else start), frame, n + 1
         state.update((start, last, n))
+        state.setTimeoutDuration(patience)
         yield pd.DataFrame(closed, columns=["channel", "note", "start_frame", "frames"])
 
-    return frames.groupBy("channel", "note").applyInPandasWithState(track, ISLAND, STATE, "append", GroupStateTimeout.NoTimeout)
+    return frames.groupBy("channel", "note").applyInPandasWithState(track, ISLAND, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
