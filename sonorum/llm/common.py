@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -97,6 +98,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trim() -> None:
+    """Give the memory of finished batches back to the system: Python workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Arrow batches cut so that each holds about SLICE_CHARS of text, with the texts as a list."""
     import pyarrow.compute as pc
@@ -113,3 +122,4 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iter
                 part = batch.slice(start, i + 1 - start)
                 yield part, part.column(column).to_pylist()
                 start, held = i + 1, 0
+        trim()

@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, dropped, released, scratch, ship, text_slices, written
+from .common import documents, dropped, released, scratch, ship, text_slices, trim, written
 from .hashing import mix, shingle_sets, signed
 
 WORDS = 5
@@ -232,6 +232,7 @@ def _frequent(docs: DataFrame, k: int, total: int, rare: int, limit: int) -> tup
         yield from send(packer)
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
+        trim()
         keys, counts = [], []
         for gaps, n, many, more in zip(*(table.column(c).to_pylist() for c in ("gaps", "n", "keys", "counts")), strict=True):
             planes = np.frombuffer(pa.decompress(gaps, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, -1)
@@ -284,6 +285,7 @@ def _lists(docs: DataFrame, k: int, percent: int, total: int, frequent) -> DataF
         yield from send(packer)
 
     def gather(key: tuple, table: pa.Table) -> pa.Table:
+        trim()
         sigs, ids, common = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("sigs", "<u8"), ("ids", "<u8"), ("common", np.uint8)))
         order = np.lexsort((ids, sigs))
         sigs, ids, common = sigs[order], ids[order], common[order]

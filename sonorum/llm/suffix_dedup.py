@@ -40,13 +40,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, released, scratch, ship, unused, written
+from .common import dropped, released, scratch, ship, trim, unused, written
 from .hashing import mix, powers, prefix, spans
 
 WINDOW = 100
 GRAM = 32
 #: Runs that one task of step one compares at a time, on average.
-BUCKET_RUNS = 400_000
+BUCKET_RUNS = 200_000
+#: Windows that one task of step two compares at a time, on average.
+BUCKET_WINDOWS = 200_000
 #: Runs that a task holds before it sends them, and windows that are put in suffix order at a time.
 HELD_RUNS, SORTED_WINDOWS = 150_000, 100_000
 #: Differing runs of one gram from which its windows are dealt by hash.
@@ -103,6 +105,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
                 part = batch.slice(start, i + 1 - start)
                 yield part, [(x or "").encode("utf-8", "surrogatepass") for x in part.column("text").to_pylist()]
                 start, held = i + 1, 0
+        trim()
 
 
 def _earlier(position: tuple[np.ndarray, ...], classes: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -211,6 +214,7 @@ def _found(docs: DataFrame, n_buckets: int, window: int, gram: int, hot: int) ->
         return pa.table({"doc_id": ids, "mark": marks, "start": first, "stop": first + more + np.int32(window), "kind": kind.astype(np.int32)})
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
+        trim()
         done = table.filter(pc.equal(table.column("kind"), 0))
         made = []
         if done.num_rows:
@@ -267,6 +271,7 @@ def _windows(docs: DataFrame, open_runs: DataFrame, n_buckets: int, window: int,
             yield _pack(rows, names, types)
 
     def order(key: tuple, table: pa.Table) -> pa.Table:
+        trim()
         data = table.column("data").combine_chunks()
         sizes = pc.binary_length(data).to_numpy().astype(np.int64)
         raw = np.frombuffer(b"".join(data.to_pylist()), np.uint8)
@@ -331,7 +336,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     n_buckets = max(64, -(-size // (35 * bucket_runs)))
     found = written(_found(rows, n_buckets, window, gram, hot), f"{top}/found")
     released(spark)
-    more = written(_windows(rows, found.where("kind > 0"), n_buckets, window, gram), f"{top}/windows")
+    n_open = found.where("kind > 0").agg(F.coalesce(F.sum(F.col("stop") - F.col("start") - (window - 1)), F.lit(0))).first()[0]
+    more = written(_windows(rows, found.where("kind > 0"), max(64, -(-n_open // BUCKET_WINDOWS)), window, gram), f"{top}/windows")
     released(spark)
     cuts = found.where("kind = 0").select("doc_id", "mark", "start", "stop").unionByName(more)
     source = docs if keep_columns else rows
