@@ -72,6 +72,28 @@ def pair_turns(df: DataFrame, key: str, order: str, kind: str, opening: str, clo
     return rows.groupBy(key, F.col(order).alias("on_turn")).agg(F.min(F.when(F.col("_next").isNull() | (F.col("_end") < F.col("_next")), F.col("_end"))).alias("off_turn"))
 
 
+def pair_lifo(events: DataFrame, keys: list[str], order: list[str], on: str) -> DataFrame:
+    """keys, on_*, off_* (the order columns): each end with the latest start of its keys that is still open [J10].
+
+    on: a boolean column, true for starts.  The number of starts left open is a
+    running sum that ends without a start do not lower below 0; a start that
+    makes it n meets the first end behind it that lowers it to n - 1, so the
+    stack is two windows and an equal level.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    run = events.withColumn("_run", F.sum(F.when(F.col(on), 1).otherwise(-1)).over(so_far))
+    open_ = run.withColumn("_low", F.least(F.lit(0), F.min("_run").over(so_far))).withColumn("_depth", F.col("_run") - F.col("_low"))
+    open_ = open_.withColumn("_before_low", F.coalesce(F.lag("_low").over(w), F.lit(0)))
+    # ends that meet no start lower the floor; the others close the level above
+    kept = open_.where(F.col(on) | (F.col("_low") == F.col("_before_low"))).withColumn("_level", F.when(F.col(on), F.col("_depth")).otherwise(F.col("_depth") + 1))
+    level = Window.partitionBy(*keys, "_level").orderBy(*order)
+    place = F.struct(*order)
+    met = kept.withColumn("_on", F.lag(place).over(level)).withColumn("_opened", F.lag(on).over(level))
+    done = met.where(~F.col(on) & F.col("_opened"))
+    return done.select(*keys, *(F.col(f"_on.{c}").alias(f"on_{c}") for c in order), *(F.col(c).alias(f"off_{c}") for c in order))
+
+
 def tie(notes: DataFrame) -> DataFrame:
     """channel, note, start, length, tied [J16]"""
     w = Window.partitionBy("channel", "note").orderBy("start", "length", "velocity")

@@ -75,6 +75,35 @@ def autocorrelation(df: DataFrame, lags: int, value: str = "code", key: str = "c
     return left.join(right, [key, "frame"]).groupBy(key, F.col("lag").cast("long").alias("lag")).agg(F.count(F.lit(1)).alias("overlap"), F.sum(F.col("x") * F.col("y")).alias("total"))
 
 
+def pick_peaks(peaks: Column, gap: int) -> Column:
+    """Array of (frame, code) in order, where a peak closer than gap to the last one kept takes its place if it is stronger, and goes if not [W4]."""
+    empty = F.slice(peaks, 1, 0)
+
+    def step(acc, x):
+        last = F.get(acc, F.size(acc) - 1)
+        close = (F.size(acc) > 0) & (x["frame"] < last["frame"] + gap)
+        without = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+        return F.when(close & (x["code"] > last["code"]), F.concat(without, F.array(x))).when(close, acc).otherwise(F.concat(acc, F.array(x)))
+
+    return F.aggregate(peaks, empty, step)
+
+
+def shape(cuts: Column, length: Column, least: int, most: int) -> Column:
+    """Where events begin: 0, the ascending cuts at least `least` behind the last one kept, and long spans in even pieces whose last one is not short [W8]."""
+    start = F.array(F.lit(0).cast("long"))
+    kept = F.aggregate(cuts, start, lambda acc, x: F.when((x > 0) & (x < length) & (x - F.element_at(acc, -1) >= least), F.concat(acc, F.array(x))).otherwise(acc))
+    ends = F.concat(F.slice(kept, F.lit(2), F.size(kept)), F.array(length))
+
+    def pieces(a, b):
+        span = b - a
+        n = F.ceil(span / F.lit(float(most))).cast("long")
+        each = F.ceil(span / n).cast("long")
+        more = F.filter(F.transform(F.sequence(F.lit(1).cast("long"), n), lambda k: a + k * each), lambda p: (p < b) & (b - p >= least))
+        return F.when(span > most, F.concat(F.array(a), more)).otherwise(F.array(a))
+
+    return F.when(length > 0, F.flatten(F.zip_with(kept, ends, pieces))).otherwise(F.slice(start, 1, 0))
+
+
 def fold_gap(cuts: Column, least: int) -> Column:
     """Ascending cuts, without those closer than least to the last one kept [W8]."""
     return F.aggregate(cuts, F.array().cast("array<long>"), lambda acc, x: F.when((F.size(acc) == 0) | (x - F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) >= least), F.concat(acc, F.array(x))).otherwise(acc))

@@ -100,6 +100,36 @@ def events_split(spark, sf):
     return s.select("channel", "x.start", "x.length")
 
 
+@query(f"""WITH RECURSIVE {SIGNAL}, {PEAKS}, o AS (SELECT channel, frame, code, row_number() OVER (PARTITION BY channel ORDER BY frame) AS i FROM peaks),
+k AS (SELECT channel, i, [frame] AS frames, [code] AS codes FROM o WHERE i = 1 UNION ALL
+  SELECT k.channel, o.i, CASE WHEN o.frame >= frames[len(frames)] + 6 THEN list_append(frames, o.frame) WHEN o.code > codes[len(codes)] THEN list_append(frames[1:len(frames) - 1], o.frame) ELSE frames END,
+         CASE WHEN o.frame >= frames[len(frames)] + 6 THEN list_append(codes, o.code) WHEN o.code > codes[len(codes)] THEN list_append(codes[1:len(codes) - 1], o.code) ELSE codes END
+  FROM k JOIN o ON o.channel = k.channel AND o.i = k.i + 1),
+l AS (SELECT channel, arg_max(frames, i) AS frames, arg_max(codes, i) AS codes FROM k GROUP BY channel)
+SELECT channel, unnest(frames) AS frame, unnest(codes) AS code FROM l""")
+def picked_onsets(spark, sf):
+    """[W4 D8] Peaks at least six frames apart; a stronger one takes the place of the one before."""
+    own = _peaks(spark, sf).groupBy("channel").agg(F.array_sort(F.collect_list(F.struct("frame", "code"))).alias("peaks"))
+    return own.select("channel", F.explode(W.pick_peaks(F.col("peaks"), 6)).alias("p")).select("channel", "p.frame", "p.code")
+
+
+@query(f"""WITH RECURSIVE {SIGNAL}, {PEAKS}, n AS (SELECT channel, max(frame) + 1 AS length FROM signal GROUP BY channel),
+o AS (SELECT channel, frame, row_number() OVER (PARTITION BY channel ORDER BY frame) AS i FROM peaks WHERE frame > 0),
+k AS (SELECT channel, 0 AS i, [0::BIGINT] AS cuts FROM n UNION ALL
+  SELECT k.channel, k.i + 1, CASE WHEN o.frame - cuts[len(cuts)] >= 8 THEN list_append(cuts, o.frame) ELSE cuts END FROM k JOIN o ON o.channel = k.channel AND o.i = k.i + 1),
+l AS (SELECT channel, arg_max(cuts, i) AS cuts FROM k GROUP BY channel), c AS (SELECT channel, unnest(cuts) AS cut FROM l),
+s AS (SELECT channel, cut, coalesce(lead(cut) OVER (PARTITION BY channel ORDER BY cut), length) AS stop FROM c JOIN n USING (channel)),
+e AS (SELECT *, CAST(ceil((stop - cut) / ceil((stop - cut) / 20.0)) AS BIGINT) AS each FROM s),
+p AS (SELECT channel, cut AS start FROM e UNION ALL SELECT channel, p FROM (SELECT channel, cut, stop, unnest(range(cut + each, stop, each)) AS p FROM e WHERE stop - cut > 20) WHERE stop - p >= 8)
+SELECT channel, start FROM p""")
+def shaped_events(spark, sf):
+    """[W8 D13] Where events begin: at 0 and at cuts eight frames apart at least, spans over 20 frames in even pieces."""
+    cuts = _peaks(spark, sf).groupBy("channel").agg(F.array_sort(F.collect_list(F.col("frame"))).alias("cuts"))
+    lengths = signal(spark, sf).groupBy("channel").agg((F.max("frame") + 1).alias("length"))
+    both = lengths.join(cuts, "channel", "left").select("channel", F.coalesce("cuts", F.array().cast("array<long>")).alias("cuts"), "length")
+    return both.select("channel", F.explode(W.shape(F.col("cuts"), F.col("length"), 8, 20)).alias("start"))
+
+
 @query(f"""WITH RECURSIVE {SIGNAL}, {PEAKS}, a AS (SELECT channel, list(frame ORDER BY frame) AS cuts FROM peaks GROUP BY channel),
 k AS (SELECT channel, cuts, 1 AS i, [cuts[1]] AS kept FROM a UNION ALL
       SELECT channel, cuts, i + 1, CASE WHEN cuts[i + 1] - kept[len(kept)] >= 10 THEN list_append(kept, cuts[i + 1]) ELSE kept END FROM k WHERE i < len(cuts))

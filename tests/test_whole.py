@@ -75,3 +75,22 @@ def test_sequences_longer_than_the_levels(spark):
         return idx
 
     assert {r.k: r.idx for r in last.collect()} == {k: fold(vs) for k, vs in rows.items()}
+
+
+def test_lifo_pairs(spark):
+    import random
+
+    from sonorum.operators.relational import pair_lifo
+
+    random.seed(4)
+    rows = [(k, i, random.random() < 0.5) for k in range(30) for i in range(random.randint(0, 30))]
+    expected = []
+    for k in range(30):
+        held = []
+        for _, i, on in sorted(r for r in rows if r[0] == k):
+            if on:
+                held.append(i)
+            elif held:
+                expected.append((k, held.pop(), i))
+    got = pair_lifo(spark.createDataFrame(rows, "k int, t int, on boolean"), ["k"], ["t"], "on").collect()
+    assert sorted(tuple(r) for r in got) == sorted(expected)
