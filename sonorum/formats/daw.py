@@ -211,7 +211,7 @@ def fl_events(data: bytes) -> list[tuple[int, object]]:
                 raise IndexError
             at += n
     except IndexError:
-        raise ParseError("an event runs past the end of the project") from None
+        raise ParseError("the last event is longer than what is left of the file") from None
     return out
 
 
@@ -240,7 +240,7 @@ def write_flstudio(s: Session) -> bytes:
 
 def read_flstudio(data: bytes) -> Session:
     if data[:4] != b"FLhd" or data[14:18] != b"FLdt":
-        raise FormatError("not an FL Studio project")
+        raise FormatError("the file lacks the two chunk marks of an FL project")
     ppq = struct.unpack_from("<H", data, 12)[0] or PPQ
     found = fl_events(data[22 : 22 + struct.unpack_from("<I", data, 18)[0]])
     text = lambda v: v.decode("utf-16-le").rstrip("\0")
