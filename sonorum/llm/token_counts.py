@@ -6,8 +6,8 @@ from documents (one a task, under a temporary name until whole) and `count`
 reads any.  Files are cut into blocks of BLOCK_BYTES; each block is searched for
 the end id as a whole array.  A document that ends in a block may have begun in
 any block before it: a prefix scan over the blocks of a file (the last separator
-before the block, and the separators so far) gives every document's start and
-number.
+before the block, and the separators so far), in two levels, gives every
+document's start and number.
 
 Defined results: null or empty text has 0 tokens; ids behind a file's last end
 id are a document without an end and are counted under it; repeated rows are
@@ -31,6 +31,8 @@ from .tokens import byte_encoder
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 50256
 BLOCK_BYTES = 4 << 20
+#: Blocks of a file that one task scans.
+GROUP_BLOCKS = 1024
 
 
 def write(docs: DataFrame, folder: str, name: str = VOCABULARY, end: int = END_ID) -> DataFrame:
@@ -63,7 +65,7 @@ def write(docs: DataFrame, folder: str, name: str = VOCABULARY, end: int = END_I
 
 
 def blocks(spark, folder: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """file, block, start, size of all token files in a folder; the driver sees names and sizes only."""
+    """file, block, start, size, total (of the file) of all token files in a folder; the driver sees names and sizes only."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -72,37 +74,59 @@ def blocks(spark, folder: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         raise ValueError(f"token files of odd size: {odd[:3]}")
     made = spark.createDataFrame(files, "file string, total long")
     cut = made.where("total > 0").withColumn("block", F.explode(F.expr(f"sequence(0L, (total - 1) div {block_bytes})")))
-    return cut.select("file", "block", (F.col("block") * block_bytes).alias("start"), F.least(F.lit(block_bytes).cast("long"), F.col("total") - F.col("block") * block_bytes).alias("size"))
+    return cut.select("file", "block", (F.col("block") * block_bytes).alias("start"), F.least(F.lit(block_bytes).cast("long"), F.col("total") - F.col("block") * block_bytes).alias("size"), "total")
+
+
+def before(found: DataFrame, group: int = GROUP_BLOCKS) -> DataFrame:
+    """file, block, begun, so_far: the last end before each block and the ends before it.
+
+    A prefix scan in two levels: the blocks of a group among themselves, then the
+    groups of a file, so that no task sees more than `group` blocks, or one row
+    for each group of a file.
+    """
+    blocks_ = found.select("file", "block", "n", "last", F.expr(f"block div {group}").alias("g"))
+    inside = Window.partitionBy("file", "g").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy("file").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    own = blocks_.select("file", "block", "g", F.max("last").over(inside).alias("own_last"), F.sum("n").over(inside).alias("own_n"))
+    groups = blocks_.groupBy("file", "g").agg(F.max("last").alias("last"), F.sum("n").alias("n"))
+    carried = groups.select("file", "g", F.max("last").over(across).alias("carried_last"), F.sum("n").over(across).alias("carried_n"))
+    none = F.lit(0).cast("long")
+    return own.join(carried, ["file", "g"]).select(
+        "file", "block",
+        F.coalesce("own_last", "carried_last", F.lit(-1).cast("long")).alias("begun"),
+        (F.coalesce("own_n", none) + F.coalesce("carried_n", none)).alias("so_far"),
+    )
+
 
+def count(spark, folder: str, end: int = END_ID, block_bytes: int = BLOCK_BYTES, group: int = GROUP_BLOCKS) -> DataFrame:
+    """file, ordinal, n_tokens of every document in the token files of a folder.
 
-def count(spark, folder: str, end: int = END_ID, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """file, ordinal, n_tokens of every document in the token files of a folder."""
+    Files are read once; of each block a table in the shared folder keeps the
+    lengths between its ends, and only their number and the last end go through
+    the scan.
+    """
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, block, start, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for file, block, start, size, total in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = np.frombuffer(read_range(f"{folder}/{file}", start, size), "<u2")
-                at = (np.flatnonzero(ids == end) + start // 2).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([start // 2 + len(ids)], pa.int64()), pa.array([at.tolist()], pa.list_(pa.int64()))], ["file", "block", "stop", "ends"])
-
+                at = np.flatnonzero(ids == end).astype(np.int64)
+                if start + size == total and ids[-1] != end:  # a document without an end
+                    at = np.append(at, len(ids))
+                begin, lengths = start // 2, np.diff(at, prepend=-1) - 1
+                last = begin + int(at[-1]) if len(at) else None
+                yield pa.RecordBatch.from_pydict({"file": [file], "block": [block], "begin": [begin], "n": [len(at)], "last": [last], "lengths": pa.array([lengths], pa.list_(pa.int64()))}, kinds)
+
+    kinds = pa.schema([("file", pa.string()), *((x, pa.int64()) for x in ("block", "begin", "n", "last")), ("lengths", pa.list_(pa.int64()))])
     cut = blocks(spark, folder, block_bytes)
     n = max(1, min(10_000, cut.count()))
-    found = cut.repartition(n, "file", "block").mapInArrow(run, "file string, block long, stop long, ends array<long>")
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("file").orderBy("block").rowsBetween(1, Window.unboundedFollowing)
-    last = F.when(F.size("ends") > 0, F.element_at("ends", -1))
-    stitched = found.select(
-        "file", "stop", "ends",
-        F.coalesce(F.max(last).over(before), F.lit(-1).cast("long")).alias("begun"),
-        F.coalesce(F.sum(F.size("ends").cast("long")).over(before), F.lit(0).cast("long")).alias("so_far"),
-        F.coalesce(F.count(F.lit(1)).over(after), F.lit(0).cast("long")).alias("later"),
-    )
-    whole = stitched.select("file", "so_far", F.posexplode(F.arrays_zip("ends", F.concat(F.array("begun"), F.slice("ends", F.lit(1), F.greatest(F.size("ends") - 1, F.lit(0)))).alias("prior"))).alias("pos", "x"), "ends")
-    documents_ = whole.select("file", (F.col("so_far") + F.col("pos")).alias("ordinal"), (F.col("x")["ends"] - F.col("x")["prior"] - 1).alias("n_tokens")).where(F.col("n_tokens").isNotNull())
-    end_of_file = F.coalesce(last, F.col("begun"))
-    open_ = stitched.where((F.col("later") == 0) & (F.col("stop") - 1 > end_of_file)).select("file", (F.col("so_far") + F.size("ends")).alias("ordinal"), (F.col("stop") - 1 - end_of_file).alias("n_tokens"))
-    return documents_.unionByName(open_)
+    found = cut.repartition(n, "file", "block").mapInArrow(run, "file string, block long, begin long, n long, last long, lengths array<long>")
+    found = written(found, f"{scratch(spark)}/lengths")
+    tall = found.join(before(found, group), ["file", "block"]).select("file", "begin", "begun", "so_far", F.posexplode("lengths").alias("pos", "length"))
+    # the first document of a block may have begun in any block before it
+    n_tokens = F.col("length") + F.when(F.col("pos") == 0, F.col("begin") - F.col("begun") - 1).otherwise(0)
+    return tall.select("file", (F.col("so_far") + F.col("pos")).alias("ordinal"), n_tokens.alias("n_tokens"))
 
 
 def counts_of(docs: DataFrame) -> DataFrame:

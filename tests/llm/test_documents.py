@@ -224,8 +224,13 @@ def test_token_counts(spark, rows, tmp_path, rank_encoding):
     folder.mkdir()
     ids.tofile(folder / "a.bin")
     for size in (2, 6, 10, 1 << 20):
-        got = sorted((r.ordinal, r.n_tokens) for r in token_counts.count(spark, f"file://{folder}", block_bytes=size).collect())
+        got = sorted((r.ordinal, r.n_tokens) for r in token_counts.count(spark, f"file://{folder}", block_bytes=size, group=3).collect())
         assert got == [(0, 1), (1, 0), (2, 3), (3, 30), (4, 2)]
+    np.array([1, 2, 50256], "<u2").tofile(folder / "b.bin")
+    np.array([], "<u2").tofile(folder / "c.bin")
+    np.array([9] * 40, "<u2").tofile(folder / "d.bin")
+    got = sorted(tuple(r) for r in token_counts.count(spark, f"file://{folder}", block_bytes=4, group=2).where("file <> 'a.bin'").collect())
+    assert got == [("b.bin", 0, 2), ("d.bin", 0, 40)]
 
 
 def test_toxicity(spark):
