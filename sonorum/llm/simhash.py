@@ -1,8 +1,10 @@
 """SimHash fingerprints of whole texts and search within a Hamming radius.
 
 Terms are the words of a text (ASCII lower case) and its pairs of neighbouring
-words, weighted by 1 + ln(occurrences).  Every term's hash votes with its weight
-for or against each of BITS bits; the sign of the sum is the bit.
+words, weighted by 1 + ln(occurrences) in whole sixteenths, so that sums are
+exact and equal texts get equal fingerprints on every machine.  Every term's hash
+votes with its weight for or against each of BITS bits; the sign of the sum is
+the bit, 0 at a tie.
 
 `near_pairs` finds all fingerprints within a radius: bits are permuted, cut into
 radius + 1 blocks, and one table a block holds the fingerprints under that
@@ -40,13 +42,13 @@ def fingerprint(text: str) -> bytes:
     own = spans(prefix(raw), first, end)
     pairs = mix(own[:-1] * np.uint64(3) + own[1:] * np.uint64(7))
     terms, counts = np.unique(np.concatenate([own, pairs]), return_counts=True)
-    weights = (1 + np.log(counts)).astype(np.float32)
-    votes = np.zeros(BITS, np.float32)
-    for at in range(0, len(terms), 4096):
+    weights = np.round(16 * (1 + np.log(counts))).astype(np.float32)
+    votes = np.zeros(BITS, np.float64)
+    for at in range(0, len(terms), 4096):  # so few whole weights add up exactly in single precision
         lanes = mix(terms[at : at + 4096, None] ^ _LANES)
         bits = np.unpackbits(lanes.view(np.uint8), axis=1)
         votes += weights[at : at + 4096] @ bits.astype(np.float32)
-    return np.packbits(votes * 2 > weights.sum()).tobytes()
+    return np.packbits(votes * 2 > weights.sum(dtype=np.float64)).tobytes()
 
 
 def likeness(a: bytes, b: bytes) -> float:

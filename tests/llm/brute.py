@@ -1,6 +1,7 @@
 """Plain versions of the operators, for small inputs."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -68,3 +69,31 @@ def lines(rows, least=10):
         kept = [x for x in ls if held[key(x)] < least or not key(x)]
         out.append((d, len(ls), len(ls) - len(kept), "\n".join(kept)))
     return sorted(out, key=str)
+
+
+WORD = (1 << 64) - 1
+
+
+def scramble(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & WORD
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & WORD
+    return x ^ x >> 31
+
+
+def word_hash(word):
+    """A polynomial of scrambled bytes, modulo 2^64, and the length."""
+    total = sum(scramble((b + 1) * 0xD1342543DE82EF95 & WORD) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(word))
+    return scramble((total + len(word) * 0x2545F4914F6CDD1D) & WORD)
+
+
+def simhash(text, lanes=4):
+    """The fingerprint as a number of 64 * lanes bits, one bit and one term at a time."""
+    own = [word_hash(w.encode()) for w in re.findall("[^\x20\x09-\x0d]+", lower(text))]
+    pairs = [scramble((a * 3 + b * 7) & WORD) for a, b in zip(own, own[1:])]
+    weights = {t: round(16 * (1 + math.log(n))) for t, n in Counter(own + pairs).items()}
+    out = 0
+    for lane in range(1, lanes + 1):
+        hashes = {t: int.from_bytes(scramble(t ^ (lane * 0x9E3779B97F4A7C15 & WORD)).to_bytes(8, "little")) for t in weights}
+        for bit in reversed(range(64)):
+            out = out << 1 | (sum(w if hashes[t] >> bit & 1 else -w for t, w in weights.items()) > 0)
+    return out

@@ -201,8 +201,9 @@ def test_simhash(spark, rows):
         r = got[d]
         other = simhash.edited(t, following)
         assert (r.n_chars, r.edited) == (len(t), other)
-        assert r.fingerprint == simhash.fingerprint(t).hex() and r.edited_fingerprint == simhash.fingerprint(other).hex()
-        assert r.near_next == simhash.likeness(simhash.fingerprint(t), simhash.fingerprint(following))
+        own, changed, after = (brute.simhash(x) for x in (t, other, following))
+        assert (int(r.fingerprint, 16), int(r.edited_fingerprint, 16)) == (own, changed)
+        assert r.near_edited == 1 - (own ^ changed).bit_count() / 256 and r.near_next == 1 - (own ^ after).bit_count() / 256
     assert simhash.compare_edits(spark.createDataFrame([], SCHEMA)).count() == 0
     one = simhash.compare_edits(spark.createDataFrame([(1, "abcd")], SCHEMA)).first()
     assert one.edited == "abab" and one.near_next == 1
