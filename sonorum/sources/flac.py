@@ -1,7 +1,8 @@
 """FLAC, reader and writer, on bit strings held as Python integers and NumPy arrays.
 
-The writer knows constant, verbatim and fixed-predictor subframes with Rice
-partitions and the four stereo pairings, and takes the cheapest of each.
+The writer knows constant, verbatim, fixed-predictor and fitted-predictor
+subframes with Rice partitions and the four stereo pairings, and takes the
+cheapest of each; low bits that no sample of a subframe uses are left out.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from ..model import FORMATS
 from .audio import Audio
 
 BLOCK = 4096
+#: Highest order of fitted predictors, bits of their coefficients.
+ORDERS, PRECISION = 12, 14
 KINDS = {8: "pcm_u8", 16: "pcm_i16", 24: "pcm_i24", 32: "pcm_i32"}
 #: Coefficients of the fixed predictors, latest sample first.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
@@ -105,14 +108,25 @@ class BitReader:
 
 
 class BitWriter:
+    """Bits as arrays, one for every run of values that are written alike."""
+
     def __init__(self):
-        self.parts: list[str] = []
+        self.parts: list[np.ndarray] = []
 
     def unsigned(self, value: int, n: int) -> None:
-        if n:
-            self.parts.append(format(value & ((1 << n) - 1), f"0{n}b"))
-
-    def text(self, bits: str) -> None:
+        self.values(np.array([value], np.int64), n)
+
+    def values(self, values: np.ndarray, n: int) -> None:
+        """The lowest n bits of each value."""
+        self.parts.append((values[:, None] >> np.arange(n - 1, -1, -1) & 1).astype(np.uint8).ravel())
+
+    def rice(self, folded: np.ndarray, k: int) -> None:
+        """Of each value: what is above k bits in unary, then the k bits."""
+        ends = np.cumsum((folded >> k) + 1 + k)
+        bits = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+        bits[ends - k - 1] = 1
+        for j in range(k):
+            bits[ends - 1 - j] = folded >> j & 1
         self.parts.append(bits)
 
     def number(self, value: int) -> None:
@@ -124,9 +138,7 @@ class BitWriter:
             self.unsigned(0x80 | value >> (6 * k) & 0x3F, 8)
 
     def finish(self) -> bytes:
-        bits = "".join(self.parts)
-        bits += "0" * (-len(bits) % 8)
-        return int(bits, 2).to_bytes(len(bits) // 8) if bits else b""
+        return np.packbits(np.concatenate(self.parts)).tobytes() if self.parts else b""
 
 
 def md5_of(codes: np.ndarray, bits: int) -> bytes:
@@ -299,11 +311,53 @@ def _coded(residual: np.ndarray, block: int, order: int) -> tuple[int, int, list
     return best
 
 
+def _predictors(samples: np.ndarray, limit: int):
+    """Coefficients and shift of the predictors of order 1 to limit that fit the samples best.
+
+    Normal equations of the samples under a parabolic window, solved order by order.
+    """
+    n = len(samples)
+    shaped = samples * (1 - ((2 * np.arange(n) + 1) / n - 1) ** 2)
+    lags = np.array([shaped[k:] @ shaped[: n - k] for k in range(limit + 1)])
+    fit, error = np.zeros(0), lags[0]
+    for order in range(1, limit + 1):
+        if error <= 0:
+            return
+        reflected = (lags[order] - fit @ lags[order - 1 : 0 : -1]) / error
+        fit = np.append(fit - reflected * fit[::-1], reflected)
+        error *= 1 - reflected * reflected
+        shift = min(15, PRECISION - 1 - int(np.frexp(np.abs(fit).max())[1]))
+        if shift >= 0:
+            top = 1 << (PRECISION - 1)
+            yield np.clip(np.round(fit * (1 << shift)), -top, top - 1).astype(np.int64), shift
+
+
+def _left_over(samples: np.ndarray, coefficients: np.ndarray, shift: int) -> np.ndarray:
+    order, n = len(coefficients), len(samples)
+    total = sum(c * samples[order - 1 - k : n - 1 - k] for k, c in enumerate(coefficients))
+    return samples[order:] - (total >> shift)
+
+
+def _fitted(samples: np.ndarray, bits: int) -> tuple | None:
+    """Coefficients, shift and residual of the fitted predictor that should cost least, by its mean residual."""
+    best = None
+    for coefficients, shift in _predictors(samples, min(ORDERS, len(samples) - 1)):
+        residual = _left_over(samples, coefficients, shift)
+        if np.abs(residual).max(initial=0) < 1 << 31:
+            cost = len(residual) * np.log2(np.abs(residual).mean() + 0.5) + len(coefficients) * (bits + PRECISION)
+            if best is None or cost < best[0]:
+                best = cost, (coefficients, shift, residual)
+    return best and best[1]
+
+
 def _plan(samples: np.ndarray, bits: int) -> tuple:
-    """Cost, kind and details of the cheapest subframe."""
+    """Cost, kind and details of the cheapest subframe, and the low bits that are zero in all its samples."""
     n = len(samples)
     if (samples == samples[0]).all():
-        return bits + 8, "constant", None
+        return bits + 8, "constant", None, 0
+    used = int(np.bitwise_or.reduce(samples))
+    spare = (used & -used).bit_length() - 1
+    samples, bits = samples >> spare, bits - spare
     best = (n * bits + 8, "verbatim", None)
     residual = samples
     for order in range(min(5, n)):
@@ -315,32 +369,42 @@ def _plan(samples: np.ndarray, bits: int) -> tuple:
         cost += 8 + order * bits + 6
         if cost < best[0]:
             best = cost, "fixed", (order, residual, p, rice)
-    return best
+    fitted = _fitted(samples, bits)
+    if fitted:
+        coefficients, shift, residual = fitted
+        order = len(coefficients)
+        cost, p, rice = _coded(residual, n, order)
+        cost += 8 + order * (bits + PRECISION) + 4 + 5 + 6
+        if cost < best[0]:
+            best = cost, "fitted", (order, residual, p, rice, coefficients, shift)
+    cost, kind, details = best
+    return cost + spare, kind, details, spare
 
 
 def _write_subframe(w: BitWriter, samples: np.ndarray, bits: int, plan: tuple) -> None:
-    _, kind, details = plan
-    if kind == "constant":
-        w.unsigned(0, 8)
-        w.unsigned(int(samples[0]), bits)
-    elif kind == "verbatim":
-        w.unsigned(2, 8)
-        for x in samples.tolist():
-            w.unsigned(x, bits)
-    else:
-        order, residual, p, rice = details
-        w.unsigned((8 + order) << 1, 8)
-        for x in samples[:order].tolist():
-            w.unsigned(x, bits)
-        w.unsigned(1, 2)
-        w.unsigned(p, 4)
-        folded = residual << 1 ^ residual >> 63
-        edges = [max(0, k * (len(samples) >> p) - order) for k in range((1 << p) + 1)]
-        for a, b, k in zip(edges, edges[1:], rice, strict=False):
-            w.unsigned(k, 5)
-            for x in folded[a:b].tolist():
-                w.text("0" * (x >> k) + "1")
-                w.unsigned(x, k)
+    _, kind, details, spare = plan
+    code = {"constant": 0, "verbatim": 1, "fixed": 8, "fitted": 31}[kind] + (details[0] if details else 0)
+    w.unsigned(code << 1 | (spare > 0), 8)
+    if spare:
+        w.unsigned(1, spare)
+    samples, bits = samples >> spare, bits - spare
+    if kind in ("constant", "verbatim"):
+        w.values(samples[:1] if kind == "constant" else samples, bits)
+        return
+    order, residual, p, rice, *fitted = details
+    w.values(samples[:order], bits)
+    if fitted:
+        coefficients, shift = fitted
+        w.unsigned(PRECISION - 1, 4)
+        w.unsigned(shift, 5)
+        w.values(coefficients, PRECISION)
+    w.unsigned(1, 2)
+    w.unsigned(p, 4)
+    folded = residual << 1 ^ residual >> 63
+    edges = [max(0, k * (len(samples) >> p) - order) for k in range((1 << p) + 1)]
+    for a, b, k in zip(edges, edges[1:], rice, strict=False):
+        w.unsigned(k, 5)
+        w.rice(folded[a:b], k)
 
 
 def encode(audio: Audio) -> bytes:

@@ -73,3 +73,38 @@ def test_narrowest():
     assert Audio(8000, "f64", [[0.5, 2**-15]]).narrowest("pcm_i24") == "pcm_i24"
     assert Audio(8000, "f64", [[1.0]]).narrowest() == "f32"
     assert Audio(8000, "f64", [[0.1]]).narrowest() == "f64"
+
+
+def kinds_of(samples, bits):
+    _, kind, _, spare = flac._plan(np.asarray(samples, np.int64), bits)
+    return kind, spare
+
+
+def test_flac_takes_the_cheapest_subframe(monkeypatch):
+    rng = np.random.default_rng(6)
+    ring = np.zeros(9001)
+    for t in range(2, len(ring)):  # a resonance that no fixed predictor follows
+        ring[t] = 1.2 * ring[t - 1] - 0.95 * ring[t - 2] + rng.standard_normal()
+    codes = np.round(ring / np.abs(ring).max() * 30000).astype(np.int64)
+    assert kinds_of(codes[:4096], 16) == ("fitted", 0)
+    assert kinds_of(np.arange(500) ** 2 // 16, 16)[0] == "fixed"
+    assert kinds_of(rng.integers(-32768, 32768, 400), 16) == ("verbatim", 0)
+    assert kinds_of(np.full(50, -3), 16) == ("constant", 0)
+    own = Audio.from_codes(8000, "pcm_i16", np.stack([codes, -codes[::-1]]))
+    data = flac.encode(own)
+    assert np.array_equal(flac.decode(data).codes(), own.codes())
+    monkeypatch.setattr(flac, "ORDERS", 0)
+    assert len(data) < 0.9 * len(flac.encode(own))
+
+
+@pytest.mark.parametrize("format_", ["pcm_i16", "pcm_i24", "pcm_i32"])
+def test_flac_leaves_unused_bits_out(format_):
+    fine = np.random.default_rng(8).integers(-128, 128, (1, 5000))
+    wide = Audio.from_codes(8000, format_, fine << 8)
+    assert kinds_of(fine[0] << 8, 32)[1] == 8
+    data = flac.encode(wide)
+    assert np.array_equal(flac.decode(data).codes(), wide.codes())
+    assert len(data) < 1.1 * 5000
+    for frames in (1, 2, 3, 13, 4097):  # blocks shorter than the orders, a last block of one sample
+        edge = Audio.from_codes(8000, format_, np.where(np.arange(frames) % 3, 0, -(1 << (int(format_[5:]) - 1)))[None])
+        assert np.array_equal(flac.decode(flac.encode(edge)).codes(), edge.codes())
